@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.llm import bpe, chatformat, decontam, imatch, langid, secrets, substrings, toxicity
+from gossamer.llm import bpe, chatformat, decontam, imatch, langid, neardup, secrets, substrings, toxicity
 from gossamer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.class_digest(table(spark, sf_dir, "documents"))
