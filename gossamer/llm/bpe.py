@@ -176,3 +176,19 @@ def round_trip_digest(df: DataFrame, path: str | None = None) -> DataFrame:
                 yield {"doc_id": b["id"][lo:hi], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
     return map_batches(df, {"id": F.col("doc_id").cast("long"), "text": F.col("text")}, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+
+
+def tokenized(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ids array<int>, exact (whether the ids decode to the text)."""
+    spec = _spec(df, path)
+
+    def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
+        bpe = codec(spec.value)
+        for b in batches:
+            for lo, hi in slices(b["id"]):
+                texts = [t or "" for t in b["text"][lo:hi].to_pylist()]
+                ids = [bpe.encode(t) for t in texts]
+                yield {id_col: b["id"][lo:hi], "n_tokens": [len(x) for x in ids], "ids": ids, "exact": [bpe.decode(x) == t for x, t in zip(ids, texts, strict=True)]}
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_batches(df, {"id": F.col(id_col), "text": F.col(text_col)}, f"`{id_col}` {kind}, n_tokens long, ids array<int>, exact boolean", run)

@@ -135,6 +135,15 @@ class Index:
                 yield item_id, hit, n, agreed, any(set(t) != {v} for v, t in seen.items())
 
 
+def _blocks(benchmark: DataFrame, rules: Rules, item_col: str, item_text_col: str) -> Iterator[list[tuple[Any, str | None]]]:
+    """The items in blocks of about ``rules.most_windows`` words, counted first."""
+    words = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-int(words) // rules.most_windows))
+    for block in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(blocks)) == block)
+        yield [tuple(r) for r in part.select(item_col, item_text_col).collect()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item it contains: id, item, windows found, the item's windows, agreement, replaced.
 
@@ -142,14 +151,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(),
     counted before; a larger benchmark takes more passes over the documents, never a larger broadcast.
     """
     spark = docs.sparkSession
-    words = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-int(words) // rules.most_windows))
-    kinds = {f.name: f.dataType.simpleString() for f in [docs.schema[id_col]]} | {"__item": benchmark.schema[item_col].dataType.simpleString()}
-    ddl = f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds['__item']}, windows_found int, item_windows int, agreement double, replaced boolean"
+    ddl = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, windows_found int, item_windows int, agreement double, replaced boolean"
     out: DataFrame | None = None
-    for block in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.select(item_col, item_text_col).collect()])
+    for items in _blocks(benchmark, rules, item_col, item_text_col):
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[dict[str, pa.Array]], shared: Any = shared) -> Iterator[dict[str, Any]]:
             index = Index(shared.value, rules)
@@ -161,3 +166,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(),
         found = map_batches(docs, {"id": F.col(id_col), "text": F.col(text_col)}, ddl, run)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of the benchmark; no shuffle, one pass per block of items."""
+    spark = docs.sparkSession
+    schema = docs.schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    for items in _blocks(benchmark, rules, item_col, item_text_col):
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[dict[str, pa.Array]], shared: Any = shared) -> Iterator[dict[str, Any]]:
+            index = Index(shared.value, rules)
+            for b in batches:
+                stay = pa.array([all(m[3] < rules.consistent for m in index.matches(t.as_py(), rules)) for t in b[text_col]], pa.bool_())
+                yield {c: a.filter(stay) for c, a in b.items()}
+
+        docs = map_batches(docs, {f.name: F.col(f"`{f.name}`") for f in schema}, ddl, run)
+    return docs
