@@ -15,3 +15,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def struct(**fields: Column) -> Column:
+    """A struct with explicit names: inside lambdas, names given by alias can be lost when a generator stands in the same projection."""
+    return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))

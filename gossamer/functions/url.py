@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gossamer.functions.expr import col, let
+from gossamer.functions.expr import col, let, struct
 
 # Parameters that only track, and the pattern of session parameters (unanchored on purpose).
 TRACKING_PARAMETERS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source")
@@ -58,7 +58,7 @@ def _query_escape(x: Column) -> Column:
 def canonical_query(query: Column | str) -> Column:
     """Pairs without tracking and session parameters, sorted by key and value, encoded anew; malformed pairs are dropped."""
     pairs = F.filter(F.split(col(query), "&", -1), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
-    decoded = F.transform(pairs, lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.when(F.contains(p, F.lit("=")), F.try_url_decode(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("v")))
+    decoded = F.transform(pairs, lambda p: struct(k=F.try_url_decode(F.substring_index(p, "=", 1)), v=F.when(F.contains(p, F.lit("=")), F.try_url_decode(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("")))
     kept = F.filter(decoded, lambda x: x["k"].isNotNull() & x["v"].isNotNull() & ~F.lower(x["k"]).isin(*TRACKING_PARAMETERS) & ~x["k"].rlike(SESSION_PARAMETER))
     return F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(_query_escape(x["k"]), F.lit("="), _query_escape(x["v"]))), "&")
 
@@ -78,12 +78,12 @@ def _analysed(raw: Column) -> Column:
 
     def parts(u: Column) -> Column:
         bad = u.rlike(r"[\x00-\x1F\x7F]") | _part(u, _PATH).rlike("%(?![0-9A-Fa-f]{2})")
-        fields = F.struct(F.lower(_part(u, _SCHEME)).alias("scheme"), _host_of(_part(u, _AUTHORITY)).alias("host"), _part(u, _PATH).alias("path"), _part(u, _QUERY).alias("query"), bad.alias("bad"))
+        fields = struct(scheme=F.lower(_part(u, _SCHEME)), host=_host_of(_part(u, _AUTHORITY)), path=_part(u, _PATH), query=_part(u, _QUERY), bad=bad)
 
         def judged(p: Column) -> Column:
             odd_host = p["host"].rlike(r"[\s<>\"\\^`{|}%]|:[^0-9\]]*[^0-9:\]][^\]]*$")
             error = F.when(p["bad"], MALFORMED).when(~p["scheme"].isin("http", "https"), UNSUPPORTED_SCHEME).when(p["host"] == "", EMPTY_HOST).when(odd_host, MALFORMED)
-            return F.struct(*(p[n].alias(n) for n in ("scheme", "host", "path", "query")), error.alias("error"))
+            return struct(**{n: p[n] for n in ("scheme", "host", "path", "query")}, error=error)
 
         return let(fields, judged)
 
@@ -101,7 +101,7 @@ def url_struct(raw: Column | str) -> Column:
         query = F.when(p["query"] == "", "").otherwise(query)
         whole = F.concat(p["scheme"], F.lit("://"), host, _escaped_path(path), query)
         ok = p["error"].isNull()
-        return F.struct(F.when(ok, whole).alias("normalized"), F.when(ok, host).alias("host"), p["error"].alias("error"))
+        return struct(normalized=F.when(ok, whole), host=F.when(ok, host), error=p["error"])
 
     r = col(raw)
     return F.when(r.isNotNull(), let(_analysed(r), built))
@@ -187,8 +187,7 @@ def url_row(raw: Column | str, depth: Column | int = 0, priority: Column | int =
     """A frontier item; its ``normalized`` is NULL where the URL is invalid."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     r = col(raw)
-    return let(url_struct(r), lambda u: F.struct(
-        r.alias("raw"), u["normalized"].alias("normalized"), u["host"].alias("host"), lit(depth).cast("int").alias("depth"), lit(priority).cast("int").alias("priority"),
-        (discovered_at if discovered_at is not None else F.lit(None)).cast("timestamp").alias("discovered_at"), lit(source_url).alias("source_url"),
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("metadata"), u["error"].alias("error"),
-    ))
+    none = F.array().cast("array<string>")
+    found_at = (discovered_at if discovered_at is not None else F.lit(None)).cast("timestamp")
+    fields = {"raw": r, "depth": lit(depth).cast("int"), "priority": lit(priority).cast("int"), "discovered_at": found_at, "source_url": lit(source_url), "metadata": F.map_from_arrays(none, none)}
+    return let(url_struct(r), lambda u: struct(**fields, normalized=u["normalized"], host=u["host"], error=u["error"]))

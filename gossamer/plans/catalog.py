@@ -1,10 +1,448 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries and their DuckDB equivalents. Every query reads its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from gossamer.config import EngineConfig
+from gossamer.functions import html as H
+from gossamer.functions import text as T
+from gossamer.functions import url as U
+from gossamer.operators import dedup, frontier, metrics, politeness, search
+from gossamer.plans import crawl
+from gossamer.sources import pages as P
+from gossamer.sources import seeds, storage
+from gossamer.streaming import crawl_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _millis() -> Column:
+    """Milliseconds of the events' zone-less timestamps, whatever the session's zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
+
+
+# ---- inputs shared by queries, each with its SQL twin ----
+
+_R = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$'"
+_TRACKING = "|".join(U.TRACKING_PARAMETERS)
+
+
+def _norm_sql(source: str, column: str, names: str) -> str:
+    """SQL for the canonical form of the URLs in ``column``, for inputs without dot segments, users and escapes."""
+    return f"""
+SELECT {names}, host, scheme || '://' || host || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS normalized FROM (
+  SELECT *, CASE scheme WHEN 'http' THEN regexp_replace(auth, ':80$', '') ELSE regexp_replace(auth, ':443$', '') END AS host,
+    CASE WHEN length(flat) > 1 THEN regexp_replace(array_to_string(list_transform(string_split(flat, ''), lambda c: CASE WHEN regexp_matches(c, '[^ -~]') THEN url_encode(c) ELSE c END), ''), '/$', '') ELSE '/' END AS p,
+    array_to_string(list_sort(list_filter(string_split(substr(query, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^({_TRACKING})$') AND NOT regexp_matches(split_part(x, '=', 1), '(?i)(session|sid|jsession|phpsess)'))), '&') AS q
+  FROM (SELECT *, lower(regexp_extract({column}, {_R}, 1)) AS scheme, lower(regexp_extract({column}, {_R}, 2)) AS auth,
+      regexp_replace(regexp_extract({column}, {_R}, 3), '/+', '/', 'g') AS flat, regexp_extract({column}, {_R}, 4) AS query FROM {source}))"""
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' URLs as a queue: arrival by page_id, priority by its remainder."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.col("url").alias("raw"), F.lit(0).alias("depth"), (F.col("page_id") % 5).cast("int").alias("priority"), F.lit("").alias("source_url"))
+    return frontier.first_of_batch(frontier.canonical(rows))
+
+
+_QUEUE = f"norm AS ({_norm_sql('pages', 'url', 'page_id, url')}), queue AS (SELECT normalized, min(page_id) AS seq, arg_min(host, page_id) AS host, (min(page_id) % 5)::INT AS priority FROM norm GROUP BY normalized)"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a crawl log."""
+    e = table(spark, sf_dir, "events")
+    failed = F.col("event_type") == "error"
+    return e.select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("w"), F.col("user_id") % 4).alias("worker_id"), F.concat(F.lit("https://h"), "user_id", F.lit(".com/"), "event_type").alias("url"), F.concat(F.lit("h"), "user_id").alias("host"),
+        F.when(failed, F.when(F.col("event_id") % 2 == 0, 503).otherwise(0)).otherwise(200).alias("status_code"), F.when(failed & (F.col("event_id") % 2 == 1), F.concat(F.lit("dial: Connection refused "), "event_id")).otherwise("").alias("error"),
+        F.col("value").alias("fetch_seconds"), (F.col("event_id") * 37 % 100_000).cast("int").alias("content_length"), (F.col("event_id") % 7).cast("int").alias("links_count"), (F.col("event_id") % 12).cast("int").alias("depth"),
+        F.when(failed, "failed").when(F.col("event_type") == "signup", "duplicate").when(F.col("event_type") == "view", "blocked").otherwise("completed").alias("outcome"), "ts",
+    )
+
+
+_LOG = """log AS (SELECT event_id AS seq, 'w' || (user_id % 4) AS worker_id, 'https://h' || user_id || '.com/' || event_type AS url, 'h' || user_id AS host,
+  CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 503 ELSE 0 END ELSE 200 END AS status_code,
+  CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'dial: Connection refused ' || event_id ELSE '' END AS error, value AS fetch_seconds,
+  (event_id * 37 % 100000)::INT AS content_length, (event_id % 7)::INT AS links_count, (event_id % 12)::INT AS depth,
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'duplicate' WHEN 'view' THEN 'blocked' ELSE 'completed' END AS outcome, ts FROM events)"""
+
+
+# ---- URLs and the frontier ----
+
+
+@query(_norm_sql("pages", "url", "page_id"))
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = U.url_struct("url")
+    return table(spark, sf_dir, "pages").select("page_id", u["host"].alias("host"), u["normalized"].alias("normalized"))
+
+
+@query(f"WITH norm AS ({_norm_sql('pages', 'url', 'page_id')}) SELECT page_id, sha256(normalized) AS url_hash, lower(regexp_matches(normalized, 'angular|react|vue|ember|backbone')::VARCHAR) = 'true' AS scripted FROM norm")
+def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.seen_key("url").alias("url_hash"), U.requires_js(U.normalize_url("url")).alias("scripted"))
+
+
+@query(f"""WITH raws AS (SELECT page_id * 3 + i AS seq, CASE i WHEN 0 THEN url WHEN 1 THEN url || '#again' ELSE upper(regexp_extract(url, '^[a-z]+')) || regexp_replace(url, '^[a-z]+', '') END AS raw FROM pages, range(3) t(i)),
+norm AS ({_norm_sql('raws', 'raw', 'seq, raw')}) SELECT normalized, sha256(normalized) AS url_hash, min(seq) AS seq FROM norm GROUP BY normalized""")
+def url_seen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = F.array(F.col("url"), F.concat("url", F.lit("#again")), F.concat(F.upper(F.regexp_extract("url", "^[a-z]+", 0)), F.regexp_replace("url", "^[a-z]+", "")))
+    raws = table(spark, sf_dir, "pages").select("page_id", F.posexplode(variants).alias("i", "raw")).select((F.col("page_id") * 3 + F.col("i")).alias("seq"), "raw")
+    return frontier.first_of_batch(frontier.canonical(raws)).select("normalized", "url_hash", "seq")
+
+
+@query(f"WITH {_QUEUE} SELECT host, count(*) AS pending, arg_max(priority, seq) AS score FROM queue GROUP BY host")
+def frontier_host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.host_scores(_queue(spark, sf_dir)).select("host", "pending", "score")
+
+
+@query(f"WITH {_QUEUE} SELECT normalized, host, row_number() OVER (PARTITION BY host ORDER BY seq) AS position FROM queue")
+def frontier_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.host_queue(_queue(spark, sf_dir)).select("normalized", "host", F.col("position").cast("long").alias("position"))
+
+
+_NOW = 20_000
+_POLITE = "polite AS (SELECT host, max(length(normalized)) * 500 AS last_fetch_ms FROM queue GROUP BY host)"
+
+
+@query(f"""WITH {_QUEUE}, {_POLITE}, scores AS (SELECT host, arg_max(priority, seq) AS score FROM queue GROUP BY host),
+top AS (SELECT * FROM scores ORDER BY score, host LIMIT 101), ready AS (SELECT top.* FROM top JOIN polite USING (host) WHERE {_NOW} > last_fetch_ms + 1000)
+SELECT host, arg_min(normalized, seq) AS normalized, any_value(score) AS score FROM queue JOIN ready USING (host) GROUP BY host""")
+def frontier_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = _queue(spark, sf_dir)
+    polite = queue.groupBy("host").agg((F.max(F.length("normalized")) * 500).cast("long").alias("last_fetch_ms")).withColumn("delay_ms", F.lit(None).cast("long"))
+    return frontier.next_batch(queue, polite, _NOW).select("host", "normalized", "score")
+
+
+@query(f"""WITH {_QUEUE}, r AS (SELECT *, regexp_replace(normalized, '^[^:/?#]+://[^/?#]*', '') AS path FROM queue)
+SELECT normalized, NOT starts_with(path, '/s') OR starts_with(path, '/st') AS allowed, 2000::BIGINT AS crawl_delay_ms FROM r""")
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = _queue(spark, sf_dir)
+    bodies = queue.select("host").distinct().select("host", F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /s\nAllow: /st\nCrawl-delay: 2\n").alias("body"), F.lit(0).cast("long").alias("fetched_ms"))
+    return politeness.with_robots(queue, politeness.robots_table(bodies)).select("normalized", "allowed", "crawl_delay_ms")
+
+
+@query("""WITH k AS (SELECT event_id, 'h' || user_id AS host, epoch_us(ts) // 1000 AS arrival_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS k FROM events)
+SELECT event_id AS seq, host, arrival_ms, k * 3600000 + max(arrival_ms - k * 3600000) OVER (PARTITION BY host ORDER BY arrival_ms, event_id ROWS UNBOUNDED PRECEDING) AS dispatch_ms FROM k""")
+def politeness_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("h"), "user_id").alias("host"), _millis().alias("arrival_ms"))
+    return politeness.schedule(rows, 3_600_000).select("seq", "host", "arrival_ms", "dispatch_ms")
+
+
+@query(f"""WITH {_LOG}, b AS (SELECT *, (status_code = 429 OR status_code >= 500)::INT AS bad FROM log), g AS (SELECT *, sum(1 - bad) OVER (PARTITION BY host ORDER BY seq) AS block FROM b)
+SELECT seq, host, least(1000 * power(2, sum(bad) OVER (PARTITION BY host, block ORDER BY seq)), 60000)::BIGINT AS delay_ms FROM g""")
+def backoff_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return politeness.backoff_states(_log(spark, sf_dir)).select("seq", "host", "delay_ms")
+
+
+@query("""WITH raws AS (SELECT page_id AS seq, url AS raw FROM pages UNION ALL SELECT page_id + 1000000000, regexp_replace(url, '^https?', 'ftp') FROM pages UNION ALL SELECT page_id + 2000000000, url || '#x' FROM pages)
+SELECT (SELECT count(*) FROM raws) AS submitted, count(DISTINCT normalized) AS added, (SELECT 2 * count(*) FROM pages) - count(DISTINCT normalized) AS skipped, (SELECT count(*) FROM pages) AS invalid FROM (""" + _norm_sql("pages", "url", "page_id") + ")")
+def seed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    row = lambda shift, raw: pages.select((F.col("page_id") + shift).alias("seq"), raw.alias("raw"))
+    raws = row(0, F.col("url")).unionByName(row(1_000_000_000, F.regexp_replace("url", "^https?", "ftp"))).unionByName(row(2_000_000_000, F.concat("url", F.lit("#x"))))
+    return seeds.seed_report(seeds.seed_status(raws, spark.createDataFrame([], "url_hash string")))
+
+
+# ---- pages ----
+
+_LINKS = rf"""hrefs AS (SELECT page_id, url, generate_subscripts(l, 1) AS pos, unnest(l) AS href FROM (SELECT page_id, url, list_transform(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1), lambda h: trim(replace(replace(h, '&quot;', '"'), '&amp;', '&'))) AS l FROM pages)),
+resolved AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[^:]+://[^/?#]*') || href
+  ELSE regexp_extract(url, '^[^:]+://[^/?#]*') || coalesce(nullif(regexp_replace(regexp_extract(url, {_R}, 3), '[^/]*$', ''), ''), '/') || href END AS abs FROM hrefs WHERE href <> '' AND NOT regexp_matches(href, '(?i)^(javascript:|mailto:|tel:|data:|#|about:|blob:)')),
+plain AS (SELECT page_id, pos, array_to_string(list_transform(string_split(regexp_replace(abs, '#.*$', ''), ''), lambda c: CASE WHEN regexp_matches(c, '[^ -~]') THEN url_encode(c) ELSE c END), '') AS link FROM resolved),
+links AS (SELECT page_id, link, min(pos) AS pos FROM plain GROUP BY page_id, link)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html", H.parse_html("html", "url").alias("p"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(trim(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&')), ''), '') AS title FROM pages".replace('\\"', '"'))
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("page_id", F.col("p.title").alias("title"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS position FROM links")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).select("page_id", F.posexplode("p.links").alias("position", "link"))
+    return rows.select("page_id", "link", F.col("position").cast("long").alias("position"))
+
+
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1), '(?is)<(script|style|noscript|iframe|nav|footer|header|aside)\b.*?</(script|style|noscript|iframe|nav|footer|header|aside)>', '', 'g'), '(?is)<!--.*?-->|<[^>]*>', '', 'g') AS t FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS content FROM b""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("page_id", F.col("p.content").alias("content"))
+
+
+@query()
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata, headings, images and main content of each page."""
+    return _records(spark, sf_dir).select("page_id", F.map_entries("p.metadata").alias("metadata"), "p.headings", "p.images", "p.main_content")
+
+
+@query(f"WITH {_LINKS}, norm AS ({_norm_sql('(SELECT page_id, link FROM links)', 'link', 'page_id, link')}), own AS ({_norm_sql('pages', 'url', 'page_id')}) SELECT normalized, min(page_id) AS first_page, 1 AS depth FROM norm WHERE normalized NOT IN (SELECT normalized FROM own) GROUP BY normalized")
+def link_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _records(spark, sf_dir).select(F.col("page_id").alias("seq"), "url", "p.links", F.lit(0).alias("depth"), F.lit(0).alias("priority"))
+    links = frontier.expand_links(pages, EngineConfig().max_depth).withColumnRenamed("order", "seq")
+    seen = frontier.canonical(pages.select(F.col("url").alias("raw")))
+    return frontier.add_urls(links, seen).select("normalized", F.col("seq.seq").alias("first_page"), "depth")
+
+
+@query(f"WITH norm AS ({_norm_sql('pages', 'url', 'page_id')}) SELECT page_id, CASE WHEN regexp_matches(lower(normalized), 'angular|react|vue|ember|backbone') THEN 'dynamic' ELSE 'static' END AS route FROM norm")
+def js_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", P.render_route(U.normalize_url("url")).alias("route"))
+
+
+@query("SELECT 'html/' || substr(sha256(html), 1, 2) || '/' || sha256(html) || '.html.gz' AS path, substr(sha256(html), 1, 2) AS prefix, any_value(strlen(html))::BIGINT AS bytes FROM pages GROUP BY sha256(html)")
+def raw_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = storage.raw_rows(table(spark, sf_dir, "pages").withColumn("content_hash", T.content_hash("html")))
+    return rows.select("path", "prefix", F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query("WITH h AS (SELECT lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS domain FROM pages) SELECT domain, count(*) AS pages FROM h GROUP BY domain ORDER BY pages DESC, domain LIMIT 10")
+def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.top_domains(table(spark, sf_dir, "pages").select(U.extract_host("url").alias("domain")))
+
+
+@query(f"""WITH {_LINKS}, n AS (SELECT page_id, count(*) AS links FROM links GROUP BY page_id),
+own AS ({_norm_sql('pages', 'url', 'page_id, html')}), firsts AS (SELECT arg_min(host, page_id) AS host, min(page_id) AS page_id FROM own GROUP BY sha256(html))
+SELECT host, count(*) AS pages, coalesce(sum(links), 0)::BIGINT AS links, min(page_id) AS first_page FROM firsts LEFT JOIN n USING (page_id) GROUP BY host""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages parsed once, exact copies dropped, reported by host."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url", "html", U.extract_host(U.normalize_url("url")).alias("host")).withColumn("content_hash", T.content_hash("html"))
+    firsts = dedup.exact_first(pages)
+    parsed = firsts.select("host", "seq", F.size(H.parse_html("html", "url")["links"]).cast("long").alias("links"))
+    return parsed.groupBy("host").agg(F.count("*").alias("pages"), F.sum("links").alias("links"), F.min("seq").alias("first_page"))
+
+
+@query()
+def crawl_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of the table of pages, seeded with all of them: outcomes by host."""
+    pages = table(spark, sf_dir, "pages")
+    start = pages.select(F.col("page_id").alias("seq"), F.col("url").alias("raw"), F.lit(0).alias("depth"), F.lit(0).alias("priority"), F.lit("").alias("source_url"))
+    robots = spark.createDataFrame([], "host string, rules array<struct<allow:boolean,pattern:string,size:int>>, crawl_delay_ms long, expires_ms long")
+    state = crawl.crawl(start, pages.select("url", "html"), robots, EngineConfig(max_depth=1))
+    return state.log.groupBy("host", "outcome").agg(F.count("*").alias("urls"))
+
+
+@query(f"WITH RECURSIVE {_LINKS}, own AS ({_norm_sql('pages', 'url', 'page_id, url')}), w AS (SELECT normalized AS url, 0 AS depth FROM own UNION SELECT l.link, 1 FROM links l) SELECT url, min(depth)::INT AS depth FROM w GROUP BY url")
+def link_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).select(U.normalize_url("url").alias("src"), F.explode("p.links").alias("dst"))
+    starts = table(spark, sf_dir, "pages").select(U.normalize_url("url").alias("url"))
+    return crawl.reachable(starts, rows.distinct(), 1)
+
+
+# ---- texts ----
+
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{Nd}]+'), lambda t: strlen(t) > 2)"
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def content_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), T.content_hash("text").alias("content_hash"))
+    return docs.groupBy("content_hash").agg(F.min("seq").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "content_hash", "copies")
+
+
+@query("SELECT sha256(text) AS content_hash, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY sha256(text)")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(T.content_hash("text").alias("content_hash"), "doc_id", "source")
+    return storage.last_write(docs, seq="doc_id")
+
+
+@query(f"WITH t AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents) SELECT doc_id, len(tokens)::BIGINT AS n_tokens, len(list_distinct(tokens))::BIGINT AS n_distinct, greatest(len(tokens) - 2, 0)::BIGINT AS n_shingles, len(list_distinct(list_transform(range(1, greatest(len(tokens) - 1, 1)), lambda i: tokens[i] || ' ' || tokens[i + 1] || ' ' || tokens[i + 2])))::BIGINT AS n_distinct_shingles FROM t")
+def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", T.tokenize("text").alias("t"))
+    s = t.select("doc_id", "t", T.shingles("t", 3).alias("s"))
+    n = lambda c: F.size(c).cast("long")
+    return s.select("doc_id", n("t").alias("n_tokens"), n(F.array_distinct("t")).alias("n_distinct"), n("s").alias("n_shingles"), n(F.array_distinct("s")).alias("n_distinct_shingles"))
+
+
+_FNV_SQL = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, len(b) // 2 + 1), lambda i: ('0x' || substr(b, 2 * i - 1, 2))::UHUGEINT)), lambda a, x: (xor(a, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+@query(f"WITH n AS (SELECT DISTINCT p_name AS token, hex(encode(p_name)) AS b FROM part) SELECT token, (CASE WHEN f >= 9223372036854775808::UHUGEINT THEN f::HUGEINT - 18446744073709551616::HUGEINT ELSE f::HUGEINT END)::BIGINT AS fnv FROM (SELECT token, {_FNV_SQL} AS f FROM n)")
+def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("token")).distinct().select("token", T.fnv1a64("token").alias("fnv"))
+
+
+_SIMHASH = f"""toks AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY ALL),
+voc AS (SELECT token, hex(encode(token)) AS b FROM (SELECT DISTINCT token FROM tf)), hashed AS (SELECT token, ({_FNV_SQL})::UBIGINT AS f FROM voc),
+bits AS (SELECT doc_id, i, sum(CASE WHEN (f >> i) & 1::UBIGINT = 1::UBIGINT THEN tf ELSE -tf END) AS v FROM tf JOIN hashed USING (token), (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY doc_id, i),
+sim AS (SELECT d.doc_id, (CASE WHEN coalesce(h, 0) >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE coalesce(h, 0)::HUGEINT END)::BIGINT AS simhash
+  FROM documents d LEFT JOIN (SELECT doc_id, bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << i ELSE 0::UBIGINT END)::UHUGEINT AS h FROM bits GROUP BY doc_id) USING (doc_id))"""
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.simhash("text").alias("simhash"))
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, simhash FROM sim")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signed(spark, sf_dir)
+
+
+@query(f"WITH {_SIMHASH}, d AS (SELECT DISTINCT simhash AS h FROM sim) SELECT a.h AS h1, b.h AS h2, bit_count(xor(a.h, b.h))::INT AS distance FROM d a JOIN d b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_pairs(_signed(spark, sf_dir), 3, "simhash", "doc_id")
+
+
+@query()
+def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.greedy_keep(_signed(spark, sf_dir), 3, "simhash", "doc_id").select("doc_id")
+
+
+@query()
+def simhash_by_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.simhash_shingles(3)("text").alias("simhash"))
+
+
+_QUERY = "from have you"
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url"), F.concat(F.lit("doc "), "source").alias("title"), F.col("text").alias("content"), F.lit("").alias("meta_description"), F.col("lang").alias("domain"), F.lit(None).cast("timestamp").alias("crawled_at"))
+
+
+def _bm25_sql(domain: str = "") -> str:
+    stop = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+    words = lambda c: f"list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: t <> '' AND t NOT IN ({stop}))"
+    return f"""WITH f AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS url, lang AS domain, 'content' AS field, 1.0 AS boost, {words("coalesce(text, '')")} AS w FROM documents
+UNION ALL SELECT lpad(doc_id::VARCHAR, 12, '0'), lang, 'title', 2.0, {words("'doc ' || source")} FROM documents),
+st AS (SELECT field, count(*) AS docs, avg(len(w)) AS mean FROM f WHERE len(w) > 0 GROUP BY field), q AS (SELECT unnest({words("'" + _QUERY + "'")}) AS term),
+hit AS (SELECT * FROM (SELECT url, domain, field, boost, len(w) AS n, term, len(list_filter(w, lambda x: x = term)) AS tf FROM f, (SELECT DISTINCT term FROM q)) WHERE tf > 0),
+df AS (SELECT field, term, count(*) AS df FROM hit GROUP BY field, term),
+s AS (SELECT url, domain, field, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) * boost) AS s FROM hit JOIN df USING (field, term) JOIN st USING (field) GROUP BY url, domain, field)
+SELECT url, round(max(s), 6) AS score FROM s {domain} GROUP BY url ORDER BY max(s) DESC, url LIMIT 10"""
+
+
+@query(_bm25_sql())
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_indexed(spark, sf_dir), _QUERY).select("url", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql("WHERE domain = 'en'"))
+def search_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_indexed(spark, sf_dir), _QUERY, domain="en").select("url", F.round("score", 6).alias("score"))
+
+
+@query(r"SELECT count(*) AS total FROM documents WHERE len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'), lambda t: t IN ('have', 'you', 'from'))) > 0")
+def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.total_hits(_indexed(spark, sf_dir), _QUERY)
+
+
+# ---- crawl log ----
+
+
+@query(f"WITH {_LOG} SELECT worker_id, CASE WHEN error = '' AND status_code BETWEEN 200 AND 399 THEN 'success' ELSE 'error' END AS status, count(*) AS value FROM log GROUP BY ALL")
+def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.fetch_status(_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT worker_id, CASE WHEN error = '' THEN 'http_' || (status_code // 100) || 'xx' WHEN contains(lower(error), 'timeout') THEN 'timeout' WHEN contains(lower(error), 'dns') THEN 'dns' WHEN contains(lower(error), 'connection') THEN 'connection' WHEN contains(lower(error), 'tls') THEN 'tls' ELSE 'other' END AS error_type, count(*) AS value FROM log WHERE NOT (error = '' AND status_code BETWEEN 200 AND 399) GROUP BY ALL")
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.error_counts(_log(spark, sf_dir))
+
+
+def _histogram_sql(value: str, bounds: list[float]) -> str:
+    return f"WITH {_LOG}, b AS (SELECT unnest([{', '.join(f'{b!r}::DOUBLE' for b in bounds)}, 'Infinity'::DOUBLE]) AS le) SELECT worker_id, round(le, 4) AS le, count(*) FILTER ({value} <= le) AS bucket_count, count(*) AS count FROM log, b GROUP BY ALL"
+
+
+@query(_histogram_sql("fetch_seconds", metrics.FETCH_SECONDS))
+def fetch_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(_log(spark, sf_dir), "fetch_seconds", metrics.FETCH_SECONDS, "worker_id").select("worker_id", F.round("le", 4).alias("le"), "bucket_count", "count")
+
+
+@query(_histogram_sql("content_length", metrics.CONTENT_BYTES))
+def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(_log(spark, sf_dir), "content_length", metrics.CONTENT_BYTES, "worker_id").select("worker_id", F.round("le", 4).alias("le"), "bucket_count", "count")
+
+
+@query(f"WITH {_LOG} SELECT worker_id, sum(links_count)::BIGINT AS value FROM log WHERE links_count > 0 AND depth < 10 GROUP BY worker_id")
+def links_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.links_extracted(_log(spark, sf_dir), 10)
+
+
+@query(f"WITH {_LOG} SELECT count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (outcome = 'blocked') AS blocked, 0::BIGINT AS scripted, count(DISTINCT worker_id) AS workers FROM log")
+def log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    one = lambda df, name: df.select(F.col("value").alias(name))
+    return one(metrics.duplicates(log), "duplicates").crossJoin(one(metrics.blocked(log), "blocked")).crossJoin(one(metrics.js_required(log), "scripted")).crossJoin(one(metrics.active_workers(log, "1970-01-01"), "workers"))  # one row each
+
+
+@query(f"WITH {_LOG} SELECT time_bucket(INTERVAL 60 SECOND, ts) AS start, count(*) AS pages, count(*) / 60.0::DOUBLE AS pages_per_second, count(*) FILTER (outcome = 'failed') / count(*)::DOUBLE AS error_rate FROM log GROUP BY 1")
+def pages_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.outcome_rates(_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT worker_id, count(*) AS pages, count(*) FILTER (outcome = 'failed') AS errors, min(ts) AS started_at, max(ts) AS last_seen FROM log GROUP BY worker_id")
+def worker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.worker_stats(_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG}, {_QUEUE} SELECT (SELECT count(*) FROM queue) AS pending, (SELECT count(DISTINCT host) FROM queue) AS hosts, count(*) FILTER (outcome = 'completed') AS completed, count(*) FILTER (outcome = 'failed') AS failed, (SELECT count(*) FROM pages) AS indexed FROM log")
+def status_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.composite(_queue(spark, sf_dir), _log(spark, sf_dir), table(spark, sf_dir, "pages"))
+
+
+@query("SELECT CASE event_type WHEN 'error' THEN 'storage' ELSE 'index' END AS storage, event_type AS operation, CASE WHEN value > 10 THEN 'error' ELSE 'success' END AS status, count(*) AS value FROM events GROUP BY ALL")
+def storage_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.when(F.col("event_type") == "error", "storage").otherwise("index").alias("storage"), F.col("event_type").alias("operation"), F.when(F.col("value") > 10, "error").otherwise("success").alias("status"))
+    return metrics.storage_operations(rows)
+
+
+@query()
+def seen_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.approximate_seen(_queue(spark, sf_dir))
+
+
+# ---- streams, driven to their end over the table's files ----
+
+
+def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    spark = stream.sparkSession
+    running = crawl_stream.sink(stream, name, mode).start()
+    running.awaitTermination()
+    return spark.table(name)
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+@query("SELECT time_bucket(INTERVAL 10 SECOND, ts) AS start, count(*) AS events, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1")
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("outcome"), F.concat(F.lit("h"), "user_id").alias("host"))
+    return _drained(crawl_stream.periodic_stats(log), "stream_stats", "complete").select("start", "events", "failed")
+
+
+@query(f"WITH norm AS ({_norm_sql('pages', 'url', 'page_id')}) SELECT DISTINCT normalized FROM norm")
+def stream_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = _stream(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.col("url").alias("raw"))
+    return _drained(crawl_stream.new_urls(urls), "stream_seen").select("normalized")
+
+
+@query()
+def stream_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-host dispatch with back-off, as keyed state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = _stream(spark, sf_dir, "events").select(F.concat(F.lit("h"), "user_id").alias("host"), F.col("event_id").alias("seq"), F.col("event_type").alias("url"), _millis().alias("arrival_ms"), F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status_code"))
+    return _drained(crawl_stream.dispatch(rows), "stream_dispatch")
