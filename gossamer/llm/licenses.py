@@ -15,6 +15,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -92,7 +93,7 @@ def anchors(templates: dict[str, str], dice: float) -> list[str]:
     chosen: set[str] = set()
     for text in templates.values():
         pairs = bigrams_of(text)
-        may_lack = len(pairs) - dice / (2 - dice) * len(pairs)
+        may_lack = len(pairs) - math.ceil(dice / (2 - dice) * len(pairs) - 1e-9)
         touched: set[str] = set()
         for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w)):
             if len(touched) > may_lack:
@@ -124,7 +125,7 @@ def scan(df: DataFrame, settings: Scan = Scan(), templates: dict[str, str] = TEM
             scores = []
             for name, bag in bags.items():
                 m = len(bag)
-                fits = (n >= t / (2 - t) * m) & (n <= (2 - t) / t * m)
+                fits = (n >= math.ceil(t / (2 - t) * m - 1e-9)) & (n <= math.floor((2 - t) / t * m + 1e-9))  # a size on the bound still counts
                 score = F.when(fits, 2.0 * F.size(F.array_intersect(b, F.lit(bag))) / (n + m)).otherwise(F.lit(0.0))
                 scores.append(F.struct((-F.round(score, 6)).alias("d"), F.lit(name).alias("license")))
             return F.array_min(F.array(*scores))
