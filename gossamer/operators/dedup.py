@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,24 +18,37 @@ def exact_first(rows: DataFrame, key: str = "content_hash", seq: str = "seq", hi
     return out if history is None else out.join(history.select(key), key, "left_anti")
 
 
-def _bands(distance: int, width: int = 64) -> list[tuple[int, int]]:
-    """distance + 1 bit ranges: two fingerprints within the distance are equal in one of them."""
-    n = distance + 1
-    cuts = [width * i // n for i in range(n + 1)]
-    return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
+def _masks(distance: int, blocks: int, width: int = 64) -> list[int]:
+    """Bit masks of which two fingerprints within the distance agree in one at least.
+
+    The bits are cut into blocks; ``distance`` flips leave ``blocks - distance`` of them
+    alone, so every choice of that many blocks is a key. More blocks make longer keys.
+    """
+    cuts = [width * i // blocks for i in range(blocks + 1)]
+    of_block = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(blocks)]
+    return [sum(x) - (1 << 64 if sum(x) >> 63 else 0) for x in combinations(of_block, blocks - distance)]
+
+
+def blocks_for(rows: int, distance: int, width: int = 64) -> int:
+    """As few blocks as give keys with more values than there are rows, so that a key's bucket stays small at any size."""
+    need = max(1, rows).bit_length()
+    blocks = distance + 1
+    while (blocks - distance) * width // blocks < need and blocks < distance + 5:
+        blocks += 1
+    return blocks
 
 
-def near_pairs(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq") -> DataFrame:
-    """(a, b, distance) for all pairs a < b of rows whose fingerprints differ in at most ``distance`` bits; exact by pigeonhole.
+def near_pairs(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq", blocks: int | None = None) -> DataFrame:
+    """(h1, h2, distance) for all pairs of fingerprints that differ in 1 to ``distance`` bits; exact by pigeonhole.
 
-    Pairs are sought between distinct fingerprints, so that copies do not multiply
-    within a band; each pair comes from the first band it shares.
+    Pairs are sought between distinct fingerprints, so that copies do not multiply within a bucket.
     """
+    blocks = blocks or blocks_for(rows.count(), distance)  # counting needs no fingerprint
     distinct = rows.select(F.col(key).alias("h")).distinct()
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("h"), lo).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1)).alias("bits")) for i, (lo, n) in enumerate(_bands(distance))))
-    keyed = distinct.select("h", F.explode(bands).alias("x")).select("h", "x.band", "x.bits")
+    keys = F.array(*(F.struct(F.lit(i).alias("table"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(_masks(distance, blocks))))
+    keyed = distinct.select("h", F.explode(keys).alias("x")).select("h", "x.table", "x.bits")
     left, right = keyed.alias("l"), keyed.alias("r")
-    near = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.h") < F.col("r.h")))
+    near = left.join(right, (F.col("l.table") == F.col("r.table")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.h") < F.col("r.h")))
     return near.where(T.hamming_distance("l.h", "r.h") <= distance).select(F.col("l.h").alias("h1"), F.col("r.h").alias("h2")).distinct().withColumn("distance", T.hamming_distance("h1", "h2").cast("int"))
 
 

@@ -102,6 +102,9 @@ def test_greedy_and_pairs(spark):
     want = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(rows, 2) if (a[1] ^ b[1]).bit_count() <= 3}
     assert {(r["a"], r["b"]) for r in dedup.near_row_pairs(df, 3).collect()} == want
     assert {r["seq"] for r in dedup.greedy_keep(df.repartition(3), 3).collect()} == greedy(rows, 3)
+    as_set = lambda b: {(r["h1"], r["h2"]) for r in dedup.near_pairs(df, 3, blocks=b).collect()}
+    assert as_set(4) == as_set(6) == as_set(7)
+    assert [dedup.blocks_for(n, 3) for n in (1000, 10**6, 10**9, 10**11)] == [4, 5, 6, 8]
 
 
 def test_check_and_store(spark):
