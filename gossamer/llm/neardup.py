@@ -9,7 +9,8 @@ banded alignment of the two sequences, and verified links make classes.
 Links are sought in rounds, each without listing the pairs of a bucket: first
 with the leader of a bucket, then with the best match outside the class found so
 far, at last with all that agree and are still in different classes. Buckets of
-any size are ranges of a sorted table, cut into blocks.
+any size are ranges of a sorted table, cut into blocks; the last round compares
+every two blocks of a bucket, unless both hold one and the same class only.
 
 Defined results: null and empty texts equal each other; a text of fewer than k
 words is one k-mer; exact copies are one text and always share a class; repeated
@@ -38,16 +39,24 @@ from gossamer.session import cut_lineage
 
 @dataclass(frozen=True)
 class Rules:
-    """``k`` words a k-mer; ``sketches`` of ``ordered`` k-mers each; pairs that agree in ``agree`` sketches are aligned; ``similarity`` links."""
+    """``k`` words a k-mer; ``sketches`` of ``ordered`` k-mers each; ``similarity`` links.
+
+    Pairs that agree in a sketch are aligned unless an estimate from ``BINS`` further minima
+    says, by ``sigmas`` standard deviations, that they cannot reach the similarity.
+    """
 
     k: int = 5
     sketches: int = 16
     ordered: int = 3
-    agree: int = 2
     similarity: float = 0.8
+    sigmas: float = 3.5
     block: int = 512
 
 
+BINS = 128
+_EMPTY = 255
+
+
 _HASHES = WordHashes(3)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,6 +93,28 @@ def sketch(labelled: np.ndarray, rules: Rules) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def bins(labelled: np.ndarray) -> np.ndarray:
+    """One byte of the smallest k-mer in each of the bins that one hash deals them into; 255 where a bin has none."""
+    h = np.sort((labelled ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15))
+    cuts = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
+    has = np.diff(np.append(cuts, len(h))) > 0
+    low = h[np.minimum(cuts, len(h) - 1)]
+    low ^= low >> np.uint64(23)
+    return np.where(has, (low * _MIX >> np.uint64(40)) % np.uint64(_EMPTY), _EMPTY).astype(np.uint8)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, rules: Rules) -> np.ndarray:
+    """For all pairs of rows of bins: whether their estimated share of common k-mers leaves the similarity possible."""
+    equal = np.zeros((len(x), len(y)), np.int32)
+    for j in range(BINS):
+        equal += x[:, j, None] == y[None, :, j]
+    fx, fy = (x != _EMPTY).astype(np.float32), (y != _EMPTY).astype(np.float32)
+    either = fx.sum(1)[:, None] + fy.sum(1)[None, :] - fx @ fy.T
+    agreed = equal - (BINS - either)
+    p = rules.similarity
+    return agreed >= p * either - rules.sigmas * np.sqrt(p * (1 - p) * either)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """m / (len(a) + len(b) - m) for the longest common subsequence m of two labelled sequences, within a band.
 
@@ -123,17 +154,18 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared_bands(texts: DataFrame, rules: Rules, buckets: int) -> DataFrame:
-    """(t, sk, at): texts with the sketches (four bytes each) and keys of which another text has an equal one."""
+    """(t, sk, bins, runs): texts with a sketch that another text has too, and which of their sketches (as runs) these are."""
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         for b in batches:
-            seen: dict[int, bytes] = {}
+            seen: dict[int, tuple[bytes, bytes]] = {}
             for t, text in zip(b["t"].to_pylist(), b["text"], strict=True):
                 if t not in seen:
-                    seen[t] = sketch(kmers(text.as_py(), rules.k), rules).tobytes()
-            yield {"t": list(seen), "sk": list(seen.values())}
+                    labelled = kmers(text.as_py(), rules.k)
+                    seen[t] = sketch(labelled, rules).tobytes(), bins(labelled).tobytes()
+            yield {"t": list(seen), "sk": [x[0] for x in seen.values()], "bins": [x[1] for x in seen.values()]}
 
-    sketches = map_batches(texts, {c: F.col(c) for c in ("t", "text")}, "t long, sk binary", run).dropDuplicates(["t"])
+    sketches = map_batches(texts, {c: F.col(c) for c in ("t", "text")}, "t long, sk binary, bins binary", run).dropDuplicates(["t"])
     bands = np.arange(rules.sketches)
 
     def entries(r: dict[str, Any]) -> Iterator[tuple]:
@@ -145,30 +177,39 @@ def _shared_bands(texts: DataFrame, rules: Rules, buckets: int) -> DataFrame:
 
 
 def _bucket_rows(shared: DataFrame, rules: Rules) -> DataFrame:
-    """(key, other, t, sk): one row for each shared sketch; ``other`` orders a bucket by the next sketch, so that like texts are near."""
+    """(key, j, other, t, body): one row for each shared sketch j; ``other`` orders a bucket by the next sketch, so that like texts are near.
+
+    The body holds four bytes of every sketch, then the bins.
+    """
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         for b in batches:
-            key, other, ts, sks = [], [], [], []
-            for t, sk, runs in zip(b["t"].to_pylist(), b["sk"], b["runs"], strict=True):
+            key, at, other, ts, bodies = [], [], [], [], []
+            for t, sk, own, runs in zip(b["t"].to_pylist(), b["sk"], b["bins"], b["runs"], strict=True):
                 full = np.frombuffer(sk.as_py(), np.uint64)
-                short = (full >> np.uint64(48)).astype(np.uint16).tobytes()
+                body = (full >> np.uint64(32)).astype(np.uint32).tobytes() + own.as_py()
                 r = runs.as_py()
                 for j in (j for x, y in zip(r[::2], r[1::2], strict=True) for j in range(x, y)):
                     key.append(int(full[j].view(np.int64)))
+                    at.append(j)
                     other.append(int(full[(j + 1) % rules.sketches] >> np.uint64(33)))
                     ts.append(t)
-                    sks.append(short)
-            yield {"key": key, "other": other, "t": ts, "sk": sks}
+                    bodies.append(body)
+            yield {"key": key, "j": at, "other": other, "t": ts, "body": bodies}
 
-    return map_batches(shared, {c: F.col(c) for c in ("t", "sk", "runs")}, "key long, other int, t long, sk binary", run)
+    return map_batches(shared, {c: F.col(c) for c in ("t", "sk", "bins", "runs")}, "key long, j int, other int, t long, body binary", run)
+
+
+def _bodies(bodies: list[bytes], rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches, bins) of some rows."""
+    raw = np.frombuffer(b"".join(bodies), np.uint8).reshape(len(bodies), 4 * rules.sketches + BINS)
+    return np.ascontiguousarray(raw[:, : 4 * rules.sketches]).view(np.uint32), raw[:, 4 * rules.sketches :]
 
 
 def _pairs(rows: DataFrame, rules: Rules, mode: str) -> DataFrame:
-    """Candidate pairs of one round. ``rows`` has key, other, t, sk and c (the class so far).
+    """Candidate pairs of one round, at most two for each row. ``rows`` has key, other, t, body and c (the class so far).
 
-    mode leader: each text with the first of its bucket; best: with the text of another class that agrees most;
-    all: with all of other classes that agree.
+    mode leader: each text with the first of its bucket; best: with the text of another class in its block that agrees most.
     """
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
@@ -177,25 +218,23 @@ def _pairs(rows: DataFrame, rules: Rules, mode: str) -> DataFrame:
             c = np.array([r[2] for r in block])
             if len(t) < 2 or (c == c[0]).all():
                 return [], []
-            sk = np.frombuffer(b"".join(r[3] for r in block), np.uint16).reshape(len(t), -1)
+            sk, own = _bodies([r[3] for r in block], rules)
             if mode == "leader":
                 first = int(np.argmin(t))
-                ok = np.flatnonzero(((sk == sk[first]).sum(1) >= rules.agree) & (c != c[first]))
+                ok = np.flatnonzero(may_link(own[first : first + 1], own, rules)[0] & (c != c[first]))
                 return [int(t[first])] * len(ok), t[ok].tolist()
-            same = np.zeros((len(t), len(t)), np.uint8)
-            for j in range(sk.shape[1]):
-                same += sk[:, j, None] == sk[None, :, j]
-            same[c[:, None] == c[None, :]] = 0
-            if mode == "best":
-                best = same.argmax(1)
-                ok = np.flatnonzero(same[np.arange(len(t)), best] >= rules.agree)
-                return t[ok].tolist(), t[best[ok]].tolist()
-            x, y = np.nonzero(np.triu(same, 1) >= rules.agree)
-            return t[x].tolist(), t[y].tolist()
-
-        key_now, block, carry, out = None, [], None, set()
+            ok = may_link(own, own, rules) & (c[:, None] != c[None, :])
+            same = np.zeros((len(t), len(t)), np.int16)
+            for j in range(BINS):
+                same += own[:, j, None] == own[None, :, j]
+            same[~ok] = -1
+            best = same.argmax(1)
+            at = np.flatnonzero(same[np.arange(len(t)), best] >= 0)
+            return t[at].tolist(), t[best[at]].tolist()
+
+        key_now, block, out = None, [], set()
         for b in batches:
-            for row in zip(*(b[n].to_pylist() for n in ("key", "t", "c", "sk")), strict=True):
+            for row in zip(*(b[n].to_pylist() for n in ("key", "t", "c", "body")), strict=True):
                 if row[0] != key_now or len(block) >= rules.block:
                     out.update((min(p), max(p)) for p in zip(*pairs_of(block), strict=True))
                     # the first of a long bucket meets every block of it
@@ -210,7 +249,66 @@ def _pairs(rows: DataFrame, rules: Rules, mode: str) -> DataFrame:
             yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
 
     ordered = rows.repartitionByRange("key", "other", "t").sortWithinPartitions("key", "other", "t")
-    return map_batches(ordered, {n: F.col(n) for n in ("key", "t", "c", "sk")}, "a long, b long", run).distinct()
+    return map_batches(ordered, {n: F.col(n) for n in ("key", "t", "c", "body")}, "a long, b long", run).distinct()
+
+
+_MEMBER = np.dtype([("t", np.int64), ("c", np.int64)])
+
+
+def _remaining_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
+    """All pairs that share a bucket, may link, and are in different classes; each from the first bucket they share.
+
+    Sorted by class, a bucket becomes blocks that mostly hold one class; two such
+    blocks of the same class are never compared, so that what is left follows the
+    number of texts outside the bucket's large class.
+    """
+    width = 4 * rules.sketches + BINS
+
+    def cut(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
+        block: list[tuple] = []
+        inner = False  # whether the block starts where its bucket does
+
+        def done(last: bool) -> Iterator[dict[str, Any]]:
+            c = [r[2] for r in block]
+            if min(c) != max(c) or not (inner and last):
+                body = np.array([(r[1], r[2]) for r in block], _MEMBER).tobytes() + b"".join(r[3] for r in block)
+                yield {"key": [block[0][0]], "j": [block[0][4]], "first": [block[0][1]], "low": [min(c)], "high": [max(c)], "n": [len(block)], "body": [body]}
+
+        for b in batches:
+            for row in zip(*(b[n].to_pylist() for n in ("key", "t", "c", "body", "j")), strict=True):
+                if block and row[0] != block[0][0]:
+                    yield from done(True)
+                    block, inner = [], True
+                elif len(block) >= rules.block:
+                    yield from done(False)
+                    block, inner = [], False
+                block.append(row)
+        if block:
+            yield from done(False)
+
+    def compare(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
+        def members(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            size = n * _MEMBER.itemsize
+            rest = body[size:]
+            return np.frombuffer(body[:size], _MEMBER), *_bodies([rest[i * width : (i + 1) * width] for i in range(n)], rules)
+
+        for b in batches:
+            for j, n1, n2, x, y in zip(b["j"].to_pylist(), b["n1"].to_pylist(), b["n2"].to_pylist(), b["x"], b["y"], strict=True):
+                (m1, s1, b1), (m2, s2, b2) = members(x.as_py(), n1), members(y.as_py(), n2)
+                ok = may_link(b1, b2, rules) & (m1["c"][:, None] != m2["c"][None, :])
+                for earlier in range(j):
+                    ok &= s1[:, earlier, None] != s2[None, :, earlier]
+                p, q = np.nonzero(ok)
+                if len(p):
+                    yield {"a": np.minimum(m1["t"][p], m2["t"][q]), "b": np.maximum(m1["t"][p], m2["t"][q])}
+
+    ordered = rows.repartitionByRange("key", "c", "t").sortWithinPartitions("key", "c", "t")
+    blocks = cut_lineage(map_batches(ordered, {n: F.col(n) for n in ("key", "t", "c", "body", "j")}, "key long, j int, first long, low long, high long, n int, body binary", cut))
+    left, right = blocks.alias("l"), blocks.alias("r")
+    several = (F.col("l.low") != F.col("l.high")) | (F.col("r.low") != F.col("r.high")) | (F.col("l.low") != F.col("r.low"))
+    both = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.first") <= F.col("r.first")) & several)
+    columns = {"j": F.col("l.j"), "n1": F.col("l.n"), "n2": F.col("r.n"), "x": F.col("l.body"), "y": F.col("r.body")}
+    return map_batches(both, columns, "a long, b long", compare).distinct()
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame:
@@ -270,7 +368,8 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     tried: DataFrame | None = None
     edges: DataFrame | None = None
     for mode in ("leader", "best", "all"):
-        pairs = _pairs(rows.join(labels.select("t", F.xxhash64("c.id", "c.t").alias("c")), "t"), rules, mode)
+        classed = rows.join(labels.select("t", F.xxhash64("c.id", "c.t").alias("c")), "t")
+        pairs = _remaining_pairs(classed, rules) if mode == "all" else _pairs(classed, rules, mode)
         pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         good = cut_lineage(_verified(pairs, sequences, rules))
