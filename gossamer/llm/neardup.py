@@ -386,7 +386,8 @@ def class_digest(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def first_of_each(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the near-copies: of each class the one with the smallest id stays, of repeated rows one."""
-    firsts = classes(docs, rules, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
-    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = marked.join(firsts, (F.col("__h") == F.col("__t")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__h"]).drop("__h")
+    # the same two keys serve the join and the removal of repeated rows, so that texts are shuffled once here
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    firsts = classes(docs, rules, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id"))).select(key(F.col("id")).alias("__k"), F.col("t").alias("__h")).distinct()
+    marked = docs.withColumns({"__k": key(F.col(id_col).cast("long")), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return marked.join(firsts.hint("shuffle_hash"), ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*(F.col(f"`{c}`") for c in docs.columns))
