@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -40,3 +42,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterations stay short to plan and survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which a driver with little to
+    do may not get to for the length of a whole iterative job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
