@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gossamer.llm import repeats
 from gossamer.llm.common import map_batches
 from gossamer.llm.rolling import WordHashes, window_hashes
-from gossamer.session import cut_lineage
+from gossamer.session import cut_lineage, release
 
 
 @dataclass(frozen=True)
@@ -328,22 +328,23 @@ def _verified(pairs: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame
     return map_batches(both, {n: F.col(n) for n in ("a", "b", "x", "y")}, "a long, b long", run)
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(t, c): the class of each vertex, as struct<id,t> of its smallest member.
+def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(t, c): the class of each vertex, as struct<id,t> of its smallest member. ``labels`` may hold classes known before.
 
     Smallest labels spread along the edges and by pointer jumping, so that the
-    rounds grow with the logarithm of a chain's length; nothing is collected.
+    rounds grow with the logarithm of a chain's length; nothing is collected. Files
+    of earlier rounds are released as soon as a round is checkpointed.
     """
     both = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    labels = cut_lineage(vertices.select("t", F.struct("id", "t").alias("c")))
     while True:
         near = both.join(labels.select(F.col("t").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        step = labels.join(near, labels["t"] == near["u"], "left").select("t", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        step = cut_lineage(step)
+        step = cut_lineage(labels.join(near, labels["t"] == near["u"], "left").select("t", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
         jumped = step.join(step.select(F.col("t").alias("p"), F.col("c").alias("pc")), F.col("c.t") == F.col("p"), "left")
         labels = cut_lineage(jumped.select("t", "old", F.least("c", F.coalesce("pc", "c")).alias("c")))
         moved = labels.where(F.col("old") != F.col("c")).limit(1).count()
         labels = labels.select("t", "c")
+        del near, step, jumped
+        release(labels.sparkSession)
         if not moved:
             return labels
 
@@ -364,7 +365,7 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     sequences = cut_lineage(map_batches(needed, {c: F.col(c) for c in ("t", "text")}, "t long, seq binary", sequence).dropDuplicates(["t"]))
     rows = cut_lineage(_bucket_rows(shared, rules))
     labels = cut_lineage(shared.select("t").join(first, "t").select("t", F.struct("id", "t").alias("c")))
-    vertices = cut_lineage(labels.select("t", F.col("c.id").alias("id")))
+    release(docs.sparkSession)
     tried: DataFrame | None = None
     edges: DataFrame | None = None
     for mode in ("leader", "best", "all"):
@@ -374,7 +375,10 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
         tried = pairs if tried is None else tried.unionByName(pairs)
         good = cut_lineage(_verified(pairs, sequences, rules))
         edges = good if edges is None else edges.unionByName(good)
-        labels = components(vertices, edges)
+        del classed, pairs
+        release(docs.sparkSession)
+        if not good.isEmpty():
+            labels = components(labels, edges)
     found = first.join(labels.select("t", F.col("c.id").alias("class_id")), "t", "left").select("t", F.coalesce("class_id", "id").alias("class_id"))
     return ids.join(found, "t").select("id", "t", "class_id")
 
