@@ -53,7 +53,7 @@ class Rules:
     block: int = 512
 
 
-BINS = 128
+BINS = 256
 _EMPTY = 255
 
 
@@ -96,15 +96,19 @@ def sketch(labelled: np.ndarray, rules: Rules) -> np.ndarray:
 def bins(labelled: np.ndarray) -> np.ndarray:
     """One byte of the smallest k-mer in each of the bins that one hash deals them into; 255 where a bin has none."""
     h = np.sort((labelled ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15))
-    cuts = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
+    cuts = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
     has = np.diff(np.append(cuts, len(h))) > 0
     low = h[np.minimum(cuts, len(h) - 1)]
     low ^= low >> np.uint64(23)
     return np.where(has, (low * _MIX >> np.uint64(40)) % np.uint64(_EMPTY), _EMPTY).astype(np.uint8)
 
 
-def may_link(x: np.ndarray, y: np.ndarray, rules: Rules) -> np.ndarray:
-    """For all pairs of rows of bins: whether their estimated share of common k-mers leaves the similarity possible."""
+def may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, rules: Rules) -> np.ndarray:
+    """For all pairs of rows of bins: whether their estimated share of common k-mers leaves the similarity possible.
+
+    Each bin that either has draws one k-mer of the union without replacement, so the
+    estimate's variance falls to nothing as the bins come to hold all of a short text.
+    """
     equal = np.zeros((len(x), len(y)), np.int32)
     for j in range(BINS):
         equal += x[:, j, None] == y[None, :, j]
@@ -112,7 +116,9 @@ def may_link(x: np.ndarray, y: np.ndarray, rules: Rules) -> np.ndarray:
     either = fx.sum(1)[:, None] + fy.sum(1)[None, :] - fx @ fy.T
     agreed = equal - (BINS - either)
     p = rules.similarity
-    return agreed >= p * either - rules.sigmas * np.sqrt(p * (1 - p) * either)
+    union = np.maximum((nx[:, None] + ny[None, :]) / (1 + p), 2)  # at most, for pairs that reach the similarity
+    left = np.clip((union - either) / (union - 1), 0, 1)
+    return agreed >= p * either - rules.sigmas * np.sqrt(p * (1 - p) * either * left) - 1
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -162,7 +168,7 @@ def _shared_bands(texts: DataFrame, rules: Rules, buckets: int) -> DataFrame:
             for t, text in zip(b["t"].to_pylist(), b["text"], strict=True):
                 if t not in seen:
                     labelled = kmers(text.as_py(), rules.k)
-                    seen[t] = sketch(labelled, rules).tobytes(), bins(labelled).tobytes()
+                    seen[t] = sketch(labelled, rules).tobytes(), bins(labelled).tobytes() + np.uint32(len(labelled)).tobytes()
             yield {"t": list(seen), "sk": [x[0] for x in seen.values()], "bins": [x[1] for x in seen.values()]}
 
     sketches = map_batches(texts, {c: F.col(c) for c in ("t", "text")}, "t long, sk binary, bins binary", run).dropDuplicates(["t"])
@@ -179,7 +185,7 @@ def _shared_bands(texts: DataFrame, rules: Rules, buckets: int) -> DataFrame:
 def _bucket_rows(shared: DataFrame, rules: Rules) -> DataFrame:
     """(key, j, other, t, body): one row for each shared sketch j; ``other`` orders a bucket by the next sketch, so that like texts are near.
 
-    The body holds four bytes of every sketch, then the bins.
+    The body holds four bytes of every sketch, then the bins and the number of k-mers.
     """
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
@@ -200,10 +206,11 @@ def _bucket_rows(shared: DataFrame, rules: Rules) -> DataFrame:
     return map_batches(shared, {c: F.col(c) for c in ("t", "sk", "bins", "runs")}, "key long, j int, other int, t long, body binary", run)
 
 
-def _bodies(bodies: list[bytes], rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """(sketches, bins) of some rows."""
-    raw = np.frombuffer(b"".join(bodies), np.uint8).reshape(len(bodies), 4 * rules.sketches + BINS)
-    return np.ascontiguousarray(raw[:, : 4 * rules.sketches]).view(np.uint32), raw[:, 4 * rules.sketches :]
+def _bodies(bodies: list[bytes], rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sketches, bins, numbers of k-mers) of some rows."""
+    at = 4 * rules.sketches
+    raw = np.frombuffer(b"".join(bodies), np.uint8).reshape(len(bodies), at + BINS + 4)
+    return np.ascontiguousarray(raw[:, :at]).view(np.uint32), raw[:, at : at + BINS], np.ascontiguousarray(raw[:, at + BINS :]).view(np.uint32)[:, 0].astype(np.float64)
 
 
 def _pairs(rows: DataFrame, rules: Rules, mode: str) -> DataFrame:
@@ -218,12 +225,12 @@ def _pairs(rows: DataFrame, rules: Rules, mode: str) -> DataFrame:
             c = np.array([r[2] for r in block])
             if len(t) < 2 or (c == c[0]).all():
                 return [], []
-            sk, own = _bodies([r[3] for r in block], rules)
+            _, own, n = _bodies([r[3] for r in block], rules)
             if mode == "leader":
                 first = int(np.argmin(t))
-                ok = np.flatnonzero(may_link(own[first : first + 1], own, rules)[0] & (c != c[first]))
+                ok = np.flatnonzero(may_link(own[first : first + 1], n[first : first + 1], own, n, rules)[0] & (c != c[first]))
                 return [int(t[first])] * len(ok), t[ok].tolist()
-            ok = may_link(own, own, rules) & (c[:, None] != c[None, :])
+            ok = may_link(own, n, own, n, rules) & (c[:, None] != c[None, :])
             same = np.zeros((len(t), len(t)), np.int16)
             for j in range(BINS):
                 same += own[:, j, None] == own[None, :, j]
@@ -262,7 +269,7 @@ def _remaining_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
     blocks of the same class are never compared, so that what is left follows the
     number of texts outside the bucket's large class.
     """
-    width = 4 * rules.sketches + BINS
+    width = 4 * rules.sketches + BINS + 4
 
     def cut(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         block: list[tuple] = []
@@ -287,15 +294,15 @@ def _remaining_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
             yield from done(False)
 
     def compare(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
-        def members(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def members(body: bytes, n: int) -> tuple[np.ndarray, ...]:
             size = n * _MEMBER.itemsize
             rest = body[size:]
             return np.frombuffer(body[:size], _MEMBER), *_bodies([rest[i * width : (i + 1) * width] for i in range(n)], rules)
 
         for b in batches:
             for j, n1, n2, x, y in zip(b["j"].to_pylist(), b["n1"].to_pylist(), b["n2"].to_pylist(), b["x"], b["y"], strict=True):
-                (m1, s1, b1), (m2, s2, b2) = members(x.as_py(), n1), members(y.as_py(), n2)
-                ok = may_link(b1, b2, rules) & (m1["c"][:, None] != m2["c"][None, :])
+                (m1, s1, b1, k1), (m2, s2, b2, k2) = members(x.as_py(), n1), members(y.as_py(), n2)
+                ok = may_link(b1, k1, b2, k2, rules) & (m1["c"][:, None] != m2["c"][None, :])
                 for earlier in range(j):
                     ok &= s1[:, earlier, None] != s2[None, :, earlier]
                 p, q = np.nonzero(ok)
