@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders; windows of the resulting
 templates are hashed and joined with the windows of the benchmark's items; what
 stands in the placeholders is then checked: an item's value must always be
-replaced by the same value, so that re-parameterised questions are caught and
-chance matches are not.
+replaced by the same value within one occurrence, so that re-parameterised
+questions are caught and chance matches are not. A text that holds an item several
+times, with other values, is judged by its best occurrence.
 
 Defined results: null and empty texts match nothing, as do null and empty items;
 repeated rows are each reported; an item shorter than the window is matched
@@ -14,6 +15,7 @@ whole; empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -108,7 +110,7 @@ class Index:
             self.by_length[w] = (h[order], owner[order], at[order], bits)
 
     def matches(self, text: str | None, rules: Rules) -> Iterator[tuple[Any, int, int, float, bool]]:
-        """(item, windows found, item's windows, agreement of placeholders, whether any value was replaced)."""
+        """(item, windows found, item's windows, agreement of placeholders, whether any value was replaced), of the best occurrence."""
         codes, surface, _ = template(text)
         for w, (hashes, owner, at, bits) in self.by_length.items():
             h = window_hashes(codes, w)
@@ -122,17 +124,51 @@ class Index:
                     found.setdefault(int(owner[e]), []).append((p, int(at[e])))
             for k, pairs in found.items():
                 item_id, values, slot, n, _ = self.items[k]
-                hit = len({q for _, q in pairs})
-                if hit < rules.coverage * n:
+                if len({q for _, q in pairs}) < rules.coverage * n:
                     continue
-                seen: dict[int, dict[int, int]] = {}
-                for i, j in {(p + d, q + d) for p, q in pairs for d in range(w)}:
-                    if slot[j]:
-                        to = seen.setdefault(int(values[j]), {})
-                        to[int(surface[i])] = to.get(int(surface[i]), 0) + 1
-                total = sum(sum(t.values()) for t in seen.values())
-                agreed = sum(max(t.values()) for t in seen.values()) / total if total else 1.0
-                yield item_id, hit, n, agreed, any(set(t) != {v} for v, t in seen.items())
+                judged = [_judged(hits, values, slot, surface, w) for hits in _occurrences(pairs, len(values), rules.coverage * n)]
+                hit, agreed, same = max(judged, key=lambda x: (x[1] >= rules.consistent, x))
+                yield item_id, hit, n, agreed, not same
+
+
+def _occurrences(pairs: list[tuple[int, int]], length: int, least: float) -> Iterator[list[tuple[int, int]]]:
+    """Sets of (window of the text, window of the item) that hold ``least`` windows of the item or more.
+
+    These are the hits of each alignment (equal distance of the two positions); each
+    alignment with hits of others, in order, where words were put in or left out; and all hits together.
+    """
+    by_shift: dict[int, list[tuple[int, int]]] = {}
+    for p, q in pairs:
+        by_shift.setdefault(p - q, []).append((p, q))
+    yield pairs
+    if len(by_shift) == 1:
+        return
+    shifts = sorted(by_shift)
+    for shift, own in by_shift.items():
+        if len(own) >= least:
+            yield own
+        near = [s for s in shifts[bisect_left(shifts, shift - length) : bisect_right(shifts, shift + length)] if s != shift]
+        if not near or len({q for s in (shift, *near) for _, q in by_shift[s]}) < least:
+            continue
+        chain = sorted(own)
+        for s in sorted(near, key=lambda s: (abs(s - shift), s)):
+            for p, q in by_shift[s]:
+                i = bisect_left(chain, (p, q))
+                if (i == 0 or chain[i - 1][0] < p and chain[i - 1][1] < q) and (i == len(chain) or p < chain[i][0] and q < chain[i][1]):
+                    chain.insert(i, (p, q))
+        if len(chain) > len(own) and len(chain) >= least:
+            yield chain
+
+
+def _judged(hits: list[tuple[int, int]], values: np.ndarray, slot: np.ndarray, surface: np.ndarray, w: int) -> tuple[int, float, bool]:
+    """(the item's windows among the hits, agreement of their placeholders, whether all values stayed)."""
+    seen: dict[int, dict[int, int]] = {}
+    for i, j in {(p + d, q + d) for p, q in hits for d in range(w) if slot[q + d]}:
+        to = seen.setdefault(int(values[j]), {})
+        to[int(surface[i])] = to.get(int(surface[i]), 0) + 1
+    total = sum(sum(t.values()) for t in seen.values())
+    agreed = sum(max(t.values()) for t in seen.values()) / total if total else 1.0
+    return len({q for _, q in hits}), agreed, all(set(t) == {v} for v, t in seen.items())
 
 
 def _blocks(benchmark: DataFrame, rules: Rules, item_col: str, item_text_col: str) -> Iterator[list[tuple[Any, str | None]]]:

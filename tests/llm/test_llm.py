@@ -325,6 +325,25 @@ def test_decontamination(spark, hard, empty):
     assert hit[3] < 1.0
 
 
+def test_decontamination_by_occurrence():
+    repeated = "In June Alice has 5 apples and Bob has 7 apples and Carol has 9 apples in total"
+    train = "A train leaves Paris with 120 passengers and travels 300 km in 4 hours before it stops near a small village"
+    variant = train.replace("120", "95").replace("300", "780").replace("Paris", "Berlin")
+    other = train.replace("120", "11").replace("300", "222").replace("Paris", "Rome")
+    index, rules = decontam.Index([(1, repeated), (2, train)], decontam.Rules()), decontam.Rules()
+    found = lambda text: {m[0]: m[1:] for m in index.matches(text, rules) if m[3] >= rules.consistent}
+    (n,) = {x[3] for x in index.items if x[0] == 1}
+    assert found(f"{prose(20, 40)}. {repeated}. {prose(21, 40)}") == {1: (n, n, 1.0, False)}
+    (n,) = {x[3] for x in index.items if x[0] == 2}
+    assert found(f"{train}. {prose(22, 60)}. {variant}.") == {2: (n, n, 1.0, False)}
+    assert found(f"{variant}. {prose(22, 60)}. {other}.") == {2: (n, n, 1.0, True)}
+    words = train.split()
+    edited = " ".join([*words[:11], "quite", "surely", *words[11:]])
+    assert set(found(f"{edited}. {prose(23, 60)}. {' '.join(variant.split()[:14])}. {other}")) == {2}
+    assert found(train.replace("before it", "but never")) == found(f"{train.replace('before it', 'but never')}. {prose(24, 30)}")
+    assert not found(f"{prose(25, 200)}")
+
+
 # ---- language ----
 
 
