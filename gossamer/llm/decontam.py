@@ -69,6 +69,20 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(slot, _PLACE[kind], surface)[kept], surface[kept], slot[kept]
 
 
+def merged(codes: np.ndarray, surface: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with one placeholder, whose value is the whole run, for each run of name tokens and each number with its unit."""
+    name = slot & (codes == _PLACE[_TITLE])
+    inner = slot & (codes == _PLACE[_UNIT])
+    inner[1:] |= name[1:] & name[:-1]
+    if not inner.any():
+        return codes, surface, slot
+    at = np.flatnonzero(~inner)
+    nth = np.arange(len(codes)) - at[np.cumsum(~inner) - 1]
+    run = np.add.reduceat((surface ^ nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93), at)
+    size = np.diff(np.append(at, len(codes)))
+    return codes[at], np.where(size > 1, run, surface[at]), slot[at]
+
+
 @dataclass(frozen=True)
 class Rules:
     """Windows of ``window`` tokens with ``literal`` or more words that are no placeholders; ``coverage`` of an item's
@@ -82,37 +96,50 @@ class Rules:
 
 
 class Index:
-    """Window hash -> (item, position), as sorted arrays, with a bit table that dismisses nearly all other windows."""
+    """Window hash -> (item, position), as sorted arrays, with a bit table that dismisses nearly all other windows.
+
+    Items with placeholders are held twice: token by token, and with runs of names, and numbers with units, as one
+    placeholder each, so that values of another length match too. The second form is left out where it has no window with
+    enough literal words.
+    """
 
     def __init__(self, items: list[tuple[Any, str | None]], rules: Rules) -> None:
-        self.items, hashes, owner, at = [], [], [], []
-        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
-        for item_id, text in items:
-            codes, surface, slot = template(text)
-            if not len(codes):
+        self.items, hashes = [], []
+        self.by_length: dict[tuple[bool, int], tuple[np.ndarray, ...]] = {}
+        for number, (item_id, text) in enumerate(items):
+            plain = template(text)
+            if not len(plain[0]):
                 continue
-            w = min(rules.window, len(codes))
-            h = window_hashes(codes, w)
-            literal = w - np.convolve(slot, np.ones(w, int), "valid")
-            good = np.flatnonzero(literal >= min(rules.literal, w))
-            good = good if len(good) else np.arange(len(h))
-            k = len(self.items)
-            self.items.append((item_id, surface, slot, len(good), w))
-            hashes.append((w, h[good], k, good))
-        for w in {x[0] for x in hashes}:
-            own = [x for x in hashes if x[0] == w]
+            for runs in (False, True) if plain[2].any() else (False,):
+                codes, surface, slot = merged(*plain) if runs else plain
+                w = min(rules.window, len(codes))
+                h = window_hashes(codes, w)
+                literal = w - np.convolve(slot, np.ones(w, int), "valid")
+                good = np.flatnonzero(literal >= (rules.literal if runs else min(rules.literal, w)))
+                if not len(good):
+                    if runs:
+                        continue
+                    good = np.arange(len(h))
+                k = len(self.items)
+                self.items.append((item_id, surface, slot, len(good), w, number))
+                hashes.append(((runs, w), h[good], k, good))
+        for form in {x[0] for x in hashes}:
+            own = [x for x in hashes if x[0] == form]
             h = np.concatenate([x[1] for x in own])
             owner = np.concatenate([np.full(len(x[1]), x[2]) for x in own])
             at = np.concatenate([x[3] for x in own])
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.by_length[w] = (h[order], owner[order], at[order], bits)
+            self.by_length[form] = (h[order], owner[order], at[order], bits)
 
     def matches(self, text: str | None, rules: Rules) -> Iterator[tuple[Any, int, int, float, bool]]:
         """(item, windows found, item's windows, agreement of placeholders, whether any value was replaced), of the best occurrence."""
-        codes, surface, _ = template(text)
-        for w, (hashes, owner, at, bits) in self.by_length.items():
+        plain = template(text)
+        forms = {False: plain, True: merged(*plain) if any(runs for runs, _ in self.by_length) else plain}
+        best: dict[int, tuple] = {}
+        for (runs, w), (hashes, owner, at, bits) in self.by_length.items():
+            codes, surface, _ = forms[runs]
             h = window_hashes(codes, w)
             maybe = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
             if not len(maybe):
@@ -123,12 +150,16 @@ class Index:
                 for e in range(a, b):
                     found.setdefault(int(owner[e]), []).append((p, int(at[e])))
             for k, pairs in found.items():
-                item_id, values, slot, n, _ = self.items[k]
+                item_id, values, slot, n, _, number = self.items[k]
                 if len({q for _, q in pairs}) < rules.coverage * n:
                     continue
-                judged = [_judged(hits, values, slot, surface, w) for hits in _occurrences(pairs, len(values), rules.coverage * n)]
-                hit, agreed, same = max(judged, key=lambda x: (x[1] >= rules.consistent, x))
-                yield item_id, hit, n, agreed, not same
+                for hits in _occurrences(pairs, len(values), rules.coverage * n):
+                    hit, agreed, same = _judged(hits, values, slot, surface, w)
+                    rank = (agreed >= rules.consistent, hit / n, agreed, same, not runs)
+                    if number not in best or rank > best[number][0]:
+                        best[number] = rank, (item_id, hit, n, agreed, not same)
+        for _, m in best.values():
+            yield m
 
 
 def _occurrences(pairs: list[tuple[int, int]], length: int, least: float) -> Iterator[list[tuple[int, int]]]:

@@ -331,12 +331,10 @@ def test_decontamination_by_occurrence():
     variant = train.replace("120", "95").replace("300", "780").replace("Paris", "Berlin")
     other = train.replace("120", "11").replace("300", "222").replace("Paris", "Rome")
     index, rules = decontam.Index([(1, repeated), (2, train)], decontam.Rules()), decontam.Rules()
-    found = lambda text: {m[0]: m[1:] for m in index.matches(text, rules) if m[3] >= rules.consistent}
-    (n,) = {x[3] for x in index.items if x[0] == 1}
-    assert found(f"{prose(20, 40)}. {repeated}. {prose(21, 40)}") == {1: (n, n, 1.0, False)}
-    (n,) = {x[3] for x in index.items if x[0] == 2}
-    assert found(f"{train}. {prose(22, 60)}. {variant}.") == {2: (n, n, 1.0, False)}
-    assert found(f"{variant}. {prose(22, 60)}. {other}.") == {2: (n, n, 1.0, True)}
+    found = lambda text: {m[0]: (m[1] / m[2], *m[3:]) for m in index.matches(text, rules) if m[3] >= rules.consistent}
+    assert found(f"{prose(20, 40)}. {repeated}. {prose(21, 40)}") == {1: (1.0, 1.0, False)}
+    assert found(f"{train}. {prose(22, 60)}. {variant}.") == {2: (1.0, 1.0, False)}
+    assert found(f"{variant}. {prose(22, 60)}. {other}.") == {2: (1.0, 1.0, True)}
     words = train.split()
     edited = " ".join([*words[:11], "quite", "surely", *words[11:]])
     assert set(found(f"{edited}. {prose(23, 60)}. {' '.join(variant.split()[:14])}. {other}")) == {2}
@@ -344,6 +342,19 @@ def test_decontamination_by_occurrence():
     assert not found(f"{prose(25, 200)}")
 
 
+def test_decontamination_by_values_of_other_lengths():
+    short = "yesterday in Paris they counted 12 old red boats on the river"
+    long = "we know that Mary bought 3 kg of apples at the market in Paris and then sold 2 kg of pears to a man who lives near London with his old mother"
+    rules = decontam.Rules()
+    index = decontam.Index([(1, short), (2, long), (3, "the Quick Brown Fox")], rules)
+    found = lambda text: {m[0]: m[4] for m in index.matches(text, rules) if m[3] >= rules.consistent}
+    assert found(f"{prose(26, 30)}. {short.replace('Paris', 'New York')}. {prose(27, 30)}") == {1: True}
+    assert found(long.replace("Mary", "Mary Ann").replace("Paris", "Rio Grande City").replace("London", "New York").replace("3 kg", "3")) == {2: True}
+    assert found(short) == {1: False} and found(long) == {2: False} and found("see the Quick Brown Fox now") == {3: False}
+    assert not found("see the Brown Fox now") and not found(prose(28, 200))
+    assert set(found(f"{short.replace('12', '15')} {long}")) == {1, 2}
+
+
 # ---- language ----
 
 
