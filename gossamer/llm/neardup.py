@@ -14,9 +14,9 @@ every two blocks of a bucket, unless both hold one and the same class only.
 
 Defined results: null and empty texts equal each other; a text of fewer than k
 words is one k-mer; exact copies are one text and always share a class; repeated
-rows are copies; the class id is the smallest id of the class (nulls aside); an
-empty table gives an empty result; other columns are ignored. Texts are told
-apart by 64-bit hashes.
+rows are copies; the class id is the smallest id of the class (nulls aside), and
+the hash of its first text where no member has an id; an empty table gives an
+empty result; other columns are ignored. Texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -336,7 +336,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame
 
 
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(t, c): the class of each vertex, as struct<id,t> of its smallest member. ``labels`` may hold classes known before.
+    """(t, c): the class of each vertex, as the struct of its smallest member, with t. ``labels`` may hold classes known before.
 
     Smallest labels spread along the edges and by pointer jumping, so that the
     rounds grow with the logarithm of a chain's length; nothing is collected. Files
@@ -357,7 +357,7 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, class_id): one row per document."""
+    """(id, t, class_id, first): one row per document; ``first`` is the text of the class that stays, with id or, in a class without ids, without."""
     buckets = min(65_536, max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     texts = _texts(docs, id_col, text_col)
     shared = _shared_bands(texts, rules, buckets)
@@ -371,7 +371,8 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     needed = texts.select("t", "text").join(shared.select("t").hint("shuffle_hash"), "t", "left_semi")
     sequences = cut_lineage(map_batches(needed, {c: F.col(c) for c in ("t", "text")}, "t long, seq binary", sequence).dropDuplicates(["t"]))
     rows = cut_lineage(_bucket_rows(shared, rules))
-    labels = cut_lineage(shared.select("t").join(first, "t").select("t", F.struct("id", "t").alias("c")))
+    label = F.struct(F.col("id").isNull().alias("none"), "id", "t")  # nulls last
+    labels = cut_lineage(shared.select("t").join(first, "t").select("t", label.alias("c")))
     release(docs.sparkSession)
     tried: DataFrame | None = None
     edges: DataFrame | None = None
@@ -386,19 +387,19 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
         release(docs.sparkSession)
         if not good.isEmpty():
             labels = components(labels, edges)
-    found = first.join(labels.select("t", F.col("c.id").alias("class_id")), "t", "left").select("t", F.coalesce("class_id", "id").alias("class_id"))
-    return ids.join(found, "t").select("id", "t", "class_id")
+    found = first.join(labels, "t", "left").select("t", F.coalesce("c", label).alias("c"))
+    return ids.join(found, "t").select("id", "t", F.coalesce("c.id", "c.t").alias("class_id"), (F.col("id").eqNullSafe(F.col("c.id")) & (F.col("t") == F.col("c.t"))).alias("first"))
 
 
 def class_digest(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The registered query: one row per document with its class."""
-    return classes(docs, rules).select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("is_first"))
+    return classes(docs, rules).select(F.col("id").alias("doc_id"), "class_id", F.col("first").alias("is_first"))
 
 
 def first_of_each(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the near-copies: of each class the one with the smallest id stays, of repeated rows one."""
     # the same two keys serve the join and the removal of repeated rows, so that texts are shuffled once here
     key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    firsts = classes(docs, rules, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id"))).select(key(F.col("id")).alias("__k"), F.col("t").alias("__h")).distinct()
+    firsts = classes(docs, rules, id_col, text_col).where("first").select(key(F.col("id")).alias("__k"), F.col("t").alias("__h")).distinct()
     marked = docs.withColumns({"__k": key(F.col(id_col).cast("long")), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     return marked.join(firsts.hint("shuffle_hash"), ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*(F.col(f"`{c}`") for c in docs.columns))

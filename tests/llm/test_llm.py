@@ -301,6 +301,23 @@ def test_large_bucket(spark):
     assert [got[i] for i in range(300)] == label
 
 
+def test_null_ids_among_near_copies(spark):
+    rnd = random.Random(9)
+    rows = []
+    for g, ids in enumerate(((None, 7, 5, None), (None, None, None), (None,))):
+        base = prose(3000 + g, 200).split()
+        rows += [(i, " ".join([*base[: 20 * n], rnd.choice(WORDS) + "x", *base[20 * n :]]), "en") for n, i in enumerate(ids, 1)]
+    group = {text: g for g, ids in ((0, rows[:4]), (1, rows[4:7]), (2, rows[7:])) for _, text, _ in ids}
+    by_hash = {r["t"]: group[r["text"]] for r in table(spark, rows).select("text", F.xxhash64("text").alias("t")).collect()}
+    got = collections.defaultdict(list)
+    for r in neardup.classes(table(spark, rows).repartition(3)).collect():
+        got[by_hash[r["t"]]].append(r)
+    assert {g: len({r["class_id"] for r in x}) for g, x in got.items()} == {0: 1, 1: 1, 2: 1}
+    assert got[0][0]["class_id"] == 5 and len({x[0]["class_id"] for x in got.values()}) == 3
+    kept = [group[r["text"]] for r in neardup.first_of_each(table(spark, rows)).collect()]
+    assert sorted(kept) == [0, 1, 2]
+
+
 # ---- decontamination ----
 
 
