@@ -53,6 +53,7 @@ class Rules:
     block: int = 512
 
 
+_ROUNDING = 1e-6  # far over the rounding of a bound, far under the step between counts
 BINS = 256
 _EMPTY = 255
 
@@ -128,17 +129,17 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     chain of matches. The band is as wide as any alignment that reaches ``least`` may drift.
     """
     na, nb = len(a), len(b)
-    if min(na, nb) < least * max(na, nb):
+    if min(na, nb) < least * max(na, nb) - _ROUNDING:
         return 0.0
     order = np.argsort(b)
     where = np.searchsorted(b[order], a)
     where[where == nb] = 0
     at = order[where]
     hit = b[at] == a
-    band = int(max(na, nb) * (1 - least)) + 1
+    band = int(max(na, nb) * (1 - least) + _ROUNDING) + 1
     hit &= np.abs(at - np.arange(na)) <= band
     at = at[hit]
-    if len(at) < least * (na + nb) / (1 + least):
+    if len(at) < least * (na + nb) / (1 + least) - _ROUNDING:
         return 0.0
     if (at[1:] > at[:-1]).all():
         m = len(at)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,14 @@ def test_large_bucket(spark):
     assert [got[i] for i in range(300)] == label
 
 
+def test_similarity_at_the_threshold():
+    long = np.arange(1, 100_001, dtype=np.uint64)
+    for k in [*range(1, 2_000), *range(2_000, 20_000, 37), 19_999, 20_000]:
+        for a, b in ((long[: 4 * k], long[: 5 * k]), (long[: 5 * k], long[k : 5 * k])):
+            assert neardup.aligned_similarity(a, b, 0.8) == 0.8, k
+    assert neardup.aligned_similarity(long[:27], long[:35], 0.8) < 0.8
+
+
 def test_null_ids_among_near_copies(spark):
     rnd = random.Random(9)
     rows = []
