@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +61,13 @@ def near_row_pairs(rows: DataFrame, distance: int = 3, key: str = "simhash", seq
     return near.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), "distance").unionByName(copies.select(F.col("s1").alias("a"), F.col("s2").alias("b"), "distance"))
 
 
-def greedy_keep(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq", max_rounds: int = 1_000) -> DataFrame:
+def greedy_keep(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq", max_rounds: int | None = None) -> DataFrame:
     """Rows kept when each is dropped if it is near a kept earlier one: first seen wins, not transitive.
 
     Only the first row of a fingerprint can be kept. Among these, rounds decide all
     whose earlier neighbours are decided: dropped if one is kept, kept if none is.
-    The state is checkpointed each round; nothing is collected.
+    The state is checkpointed each round; nothing is collected. Rounds go on until all
+    rows are decided; beyond ``max_rounds``, or where a round decides none, this is an error.
     """
     distance = distance if distance > 0 else 3
     firsts = rows.groupBy(F.col(key).alias("h")).agg(F.min(seq).alias("s"))
@@ -74,10 +75,15 @@ def greedy_keep(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: s
     ordered = links.join(firsts.select(F.col("h").alias("h1"), F.col("s").alias("s1")), "h1").join(firsts.select(F.col("h").alias("h2"), F.col("s").alias("s2")), "h2")
     edges = cut_lineage(ordered.select(F.least("s1", "s2").alias("early"), F.greatest("s1", "s2").alias("late")))
     state = cut_lineage(firsts.join(edges.select(F.col("late").alias("s")).distinct(), "s", "left_semi").select("s", F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(max_rounds):
+    before = None
+    for done in count():
         open_rows = state.where(F.col("kept").isNull())
-        if open_rows.isEmpty():
+        left = open_rows.count()
+        if not left:
             break
+        if left == before or done == max_rounds:
+            raise RuntimeError(f"{left} rows are undecided after {done} rounds")
+        before = left
         told = edges.join(open_rows.select(F.col("s").alias("late")), "late").join(state.select(F.col("s").alias("early"), F.col("kept").alias("k")), "early", "left")
         known = told.join(state.select(F.col("s").alias("early"), F.lit(True).alias("listed")), "early", "left")
         judged = known.select("late", F.when(F.col("listed").isNull(), True).otherwise(F.col("k")).alias("k")).groupBy("late").agg(F.bool_or("k").alias("hit"), F.count_if(F.col("k").isNull()).alias("open"))

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gossamer.config import EngineConfig
@@ -104,6 +105,13 @@ def test_greedy_and_pairs(spark):
     assert {r["seq"] for r in dedup.greedy_keep(df.repartition(3), 3).collect()} == greedy(rows, 3)
     as_set = lambda b: {(r["h1"], r["h2"]) for r in dedup.near_pairs(df, 3, blocks=b).collect()}
     assert as_set(4) == as_set(6) == as_set(7)
+
+
+def test_greedy_does_not_stop_early(spark):
+    df = spark.createDataFrame([(i, (1 << 3 * i) - 1) for i in range(7)], "seq long, simhash long")
+    assert {r["seq"] for r in dedup.greedy_keep(df, 3).collect()} == {0, 2, 4, 6}
+    with pytest.raises(RuntimeError):
+        dedup.greedy_keep(df, 3, max_rounds=2)
     assert [dedup.blocks_for(n, 3) for n in (1000, 10**6, 10**9, 10**11)] == [4, 5, 6, 8]
 
 
