@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -310,6 +311,18 @@ def test_similarity_at_the_threshold():
     assert neardup.aligned_similarity(long[:27], long[:35], 0.8) < 0.8
 
 
+def test_estimate_loses_fewer_links_than_the_sketches():
+    rules = neardup.Rules()
+    p, lg = rules.similarity, math.lgamma
+    choose = lambda n, k: lg(n + 1) - lg(k + 1) - lg(n - k + 1)
+    for union in (100, 250, 500, 1_250, 5_000, 20_000, 50_000):
+        common = math.ceil(p * union)
+        either = round(neardup.BINS * (1 - (1 - 1 / neardup.BINS) ** union))
+        least = p * either - rules.sigmas * math.sqrt(p * (1 - p) * either * (union - either) / (union - 1)) - 1
+        lost = (x for x in range(max(0, either - (union - common)), math.ceil(least)))
+        assert sum(math.exp(choose(common, x) + choose(union - common, either - x) - choose(union, either)) for x in lost) < 1e-5, union
+
+
 def test_null_ids_among_near_copies(spark):
     rnd = random.Random(9)
     rows = []
