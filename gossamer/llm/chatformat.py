@@ -96,14 +96,14 @@ class Pack:
 def pack(conversations: DataFrame, most_chars: int = 200_000, most_conversations: int = 512) -> DataFrame:
     """Packed sequences: text, nodes (extent, parent, position id of the first token, loss span), attention intervals, leaves.
 
-    The path of prefix hashes orders conversations as a depth-first walk does;
+    The path, a hash of each turn, orders conversations as a depth-first walk does;
     the id breaks ties, so that a range partitioning splits even one huge tree.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").alias("turn"), text("role").alias("role"), text("text").alias("text")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    chain = F.aggregate(F.slice("turns", 1, 8), F.struct(F.lit(0).cast("long").alias("h"), F.lit("").alias("path")), lambda acc, t: F.struct(F.xxhash64(acc["h"], t["role"], t["text"]).alias("h"), F.concat(acc["path"], F.lpad(F.hex(F.xxhash64(acc["h"], t["role"], t["text"])), 16, "0")).alias("path")))
-    ordered = grouped.withColumn("path", chain["path"]).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
+    ordered = grouped.withColumn("path", path).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         current = Pack()

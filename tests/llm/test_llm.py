@@ -240,6 +240,14 @@ def test_chat(spark):
         assert chatformat.unescape(chatformat.escape(text)) == text and "<|" not in chatformat.escape(text)
 
 
+def test_chat_branches_after_many_turns(spark):
+    rows = [(c, t, "user", f"turn {t}" if t < 9 else f"branch {c % 2}" if t == 9 else f"end {c}") for c in range(20) for t in range(11)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for p in chatformat.pack(df).collect():
+        told = [p["text"].count(f"branch {b}") for b in (0, 1)]
+        assert max(told) == 1 and p["text"].count("turn 8") == 1
+
+
 # ---- near duplicates ----
 
 
