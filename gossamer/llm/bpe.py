@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import Any
 
@@ -23,14 +23,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from gossamer.llm.common import map_batches, slices
+from gossamer.llm.common import Memo, column, kept_for_task, map_batches, slices, struct_type, type_of
 
 #: White space as the Unicode property has it; Python's own class has four control characters more.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
+_LONG = 500_000
+
+
+def _words(text: str) -> Iterable[str]:
+    """The words of a text, one by one where a list of them would be large."""
+    return _WORD.findall(text) if len(text) < _LONG else (m[0] for m in _WORD.finditer(text))
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in for every byte value in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,16 +47,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
-class ByteBpe(dict):
-    """Word -> token ids, filled on demand. The cache is emptied when it holds ``most`` words."""
+class ByteBpe:
+    """Text -> token ids and back, by one vocabulary. ``words`` keeps the ids of words already seen."""
 
-    def __init__(self, spec: bytes, most: int = 400_000) -> None:
-        super().__init__()
+    def __init__(self, spec: bytes) -> None:
+        self.words = Memo(self.ids_of, 100_000, kept=True)
         doc = json.loads(spec)
         vocab: dict[str, int] = doc["model"]["vocab"]
         letters = _byte_letters()
         back = {c: b for b, c in letters.items()}
-        self.most = most
         self.byte_ids = [vocab[letters[b]] for b in range(256)]
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(doc["model"]["merges"]):
@@ -64,11 +72,8 @@ class ByteBpe(dict):
         self.decimal = [str(i) for i in range(size)]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out = tuple(self.merge([self.byte_ids[b] for b in word.encode("utf-8", "surrogatepass")]))
-        return out
+    def ids_of(self, word: str) -> tuple[int, ...]:
+        return tuple(self.merge([self.byte_ids[b] for b in word.encode("utf-8", "surrogatepass")]))
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply merges in rank order, leftmost first among equal ranks."""
@@ -95,24 +100,24 @@ class ByteBpe(dict):
 
     def encode(self, text: str) -> list[int]:
         if self.split is None:
-            return list(chain.from_iterable(map(self.__getitem__, _WORD.findall(text))))
+            return list(chain.from_iterable(map(self.words.__getitem__, _words(text))))
         ids: list[int] = []
         for part in self.split.split(text) if any(t in text for t in self.added) else (text,):
             if part in self.added:
                 ids.append(self.added[part])
             else:
-                ids.extend(chain.from_iterable(map(self.__getitem__, _WORD.findall(part))))
+                ids.extend(chain.from_iterable(map(self.words.__getitem__, _words(part))))
         return ids
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[bytes, ByteBpe] = {}
+_CODECS: dict[bytes, ByteBpe] = kept_for_task({})
 
 
 def codec(spec: bytes) -> ByteBpe:
-    """One codec per worker process and vocabulary."""
+    """One codec per task and vocabulary."""
     key = hashlib.sha256(spec).digest()
     if key not in _CODECS:
         _CODECS[key] = ByteBpe(spec)
@@ -139,10 +144,10 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         bpe = codec(spec.value)
         for b in batches:
             for lo, hi in slices(b["id"]):
-                yield {id_col: b["id"][lo:hi], "ids": [bpe.encode(t or "") for t in b["text"][lo:hi].to_pylist()]}
+                yield {"id": b["id"][lo:hi], "ids": [bpe.encode(t or "") for t in b["text"][lo:hi].to_pylist()]}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df, {"id": F.col(id_col), "text": F.col(text_col)}, f"{id_col} {kind}, ids array<int>", run)
+    output = StructType([StructField("id", type_of(df, id_col)), *struct_type("ids array<int>")])
+    return map_batches(df, {"id": column(id_col), "text": column(text_col)}, output, run).toDF(id_col, "ids")
 
 
 def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -153,10 +158,10 @@ def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_c
         bpe = codec(spec.value)
         for b in batches:
             for lo, hi in slices(b["id"]):
-                yield {id_col: b["id"][lo:hi], "text": [bpe.decode(x or []) for x in b["ids"][lo:hi].to_pylist()]}
+                yield {"id": b["id"][lo:hi], "text": [bpe.decode(x or []) for x in b["ids"][lo:hi].to_pylist()]}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df, {"id": F.col(id_col), "ids": F.col(ids_col)}, f"{id_col} {kind}, text string", run)
+    output = StructType([StructField("id", type_of(df, id_col)), *struct_type("text string")])
+    return map_batches(df, {"id": column(id_col), "ids": column(ids_col)}, output, run).toDF(id_col, "text")
 
 
 def round_trip_digest(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -188,7 +193,7 @@ def tokenized(df: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             for lo, hi in slices(b["id"]):
                 texts = [t or "" for t in b["text"][lo:hi].to_pylist()]
                 ids = [bpe.encode(t) for t in texts]
-                yield {id_col: b["id"][lo:hi], "n_tokens": [len(x) for x in ids], "ids": ids, "exact": [bpe.decode(x) == t for x, t in zip(ids, texts, strict=True)]}
+                yield {"id": b["id"][lo:hi], "n_tokens": [len(x) for x in ids], "ids": ids, "exact": [bpe.decode(x) == t for x, t in zip(ids, texts, strict=True)]}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df, {"id": F.col(id_col), "text": F.col(text_col)}, f"`{id_col}` {kind}, n_tokens long, ids array<int>, exact boolean", run)
+    output = StructType([StructField("id", type_of(df, id_col)), *struct_type("n_tokens long, ids array<int>, exact boolean")])
+    return map_batches(df, {"id": column(id_col), "text": column(text_col)}, output, run).toDF(id_col, "n_tokens", "ids", "exact")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import map_batches
+from gossamer.llm.common import Memo, map_batches
 from gossamer.llm.rolling import window_hashes
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
@@ -39,19 +39,14 @@ _WORD, _NUMBER, _UNIT, _TITLE, _BREAK = range(5)
 _PLACE = np.array([0, 0xA1B2C3D4E5F60711, 0xB2C3D4E5F6071122, 0xC3D4E5F607112233, 0], np.uint64)
 
 
-class _Tokens(dict):
-    """Token -> hash of its lower-case form with the class in the lowest three bits."""
+def _code(token: str) -> int:
+    """Hash of a token's lower-case form with its class in the lowest three bits."""
+    c = token[0]
+    kind = _NUMBER if c.isdigit() else _BREAK if c in ".!?:\n" else _UNIT if token.lower() in _UNITS else _TITLE if c.isupper() and not token[1:].isupper() and len(token) > 1 else _WORD
+    return (xxhash.xxh3_64_intdigest(token.lower()) & ~7) | kind
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 600_000:
-            self.clear()
-        c = token[0]
-        kind = _NUMBER if c.isdigit() else _BREAK if c in ".!?:\n" else _UNIT if token.lower() in _UNITS else _TITLE if c.isupper() and not token[1:].isupper() and len(token) > 1 else _WORD
-        self[token] = code = (xxhash.xxh3_64_intdigest(token.lower()) & ~7) | kind
-        return code
 
-
-_CODES = _Tokens()
+_CODES = Memo(_code)
 
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

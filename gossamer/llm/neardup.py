@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.llm import repeats
-from gossamer.llm.common import map_batches
-from gossamer.llm.rolling import WordHashes, window_hashes
+from gossamer.llm.common import column, fresh, join_hot, map_batches
+from gossamer.llm.rolling import window_hashes, word_hashes
 from gossamer.session import cut_lineage, release
 
 
@@ -52,6 +52,7 @@ class Rules:
     similarity: float = 0.8
     sigmas: float = 5.0
     block: int = 512
+    cell: int = 16
 
 
 _ROUNDING = 1e-6  # far over the rounding of a bound, far under the step between counts
@@ -59,14 +60,13 @@ BINS = 256
 _EMPTY = 255
 
 
-_HASHES = WordHashes(3)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def kmers(text: bytes | None, k: int) -> np.ndarray:
     """Occurrence-labelled k-mers in text order, as 64-bit hashes; all differ within a document."""
     words = (text or b"").split()
-    h = window_hashes(_HASHES.of(words), min(k, max(1, len(words))))
+    h = window_hashes(word_hashes(words), min(k, max(1, len(words))))
     if len(h) < 2:
         return h if len(h) else np.zeros(1, np.uint64)
     order = np.argsort(h, kind="stable")
@@ -157,11 +157,11 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.cast("binary").alias("text"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    return docs.select(column(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.cast("binary").alias("text"))
 
 
-def _shared_bands(texts: DataFrame, rules: Rules, buckets: int) -> DataFrame:
+def _shared_bands(texts: DataFrame, rules: Rules) -> DataFrame:
     """(t, sk, bins, runs): texts with a sketch that another text has too, and which of their sketches (as runs) these are."""
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
@@ -176,11 +176,12 @@ def _shared_bands(texts: DataFrame, rules: Rules, buckets: int) -> DataFrame:
     sketches = map_batches(texts, {c: F.col(c) for c in ("t", "text")}, "t long, sk binary, bins binary", run).dropDuplicates(["t"])
     bands = np.arange(rules.sketches)
 
-    def entries(r: dict[str, Any]) -> Iterator[tuple]:
-        yield np.frombuffer(r["sk"], np.uint64), r["t"], 0, bands
+    def entries(r: dict[str, Any]) -> Iterator[repeats.Entry]:
+        yield np.frombuffer(r["sk"], np.uint64), None, r["t"], 0, bands
 
     sketches = cut_lineage(sketches)
-    found = repeats.find(repeats.send(sketches, {c: F.col(c) for c in ("t", "sk")}, entries, buckets), buckets)
+    ranges = repeats.Ranges.over(texts, sketches.count() * rules.sketches)
+    found = repeats.find(repeats.send(sketches, {c: F.col(c) for c in ("t", "sk")}, entries, ranges), ranges)
     return cut_lineage(sketches.join(found.select(F.col("k").alias("t"), "runs").hint("shuffle_hash"), "t"))
 
 
@@ -269,7 +270,8 @@ def _remaining_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
 
     Sorted by class, a bucket becomes blocks that mostly hold one class; two such
     blocks of the same class are never compared, so that what is left follows the
-    number of texts outside the bucket's large class.
+    number of texts outside the bucket's large class. The blocks of a long bucket are
+    dealt to a square of cells, one task each, of about ``rules.cell`` blocks a side.
     """
     width = 4 * rules.sketches + BINS + 4
 
@@ -313,15 +315,21 @@ def _remaining_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
 
     ordered = rows.repartitionByRange("key", "c", "t").sortWithinPartitions("key", "c", "t")
     blocks = cut_lineage(map_batches(ordered, {n: F.col(n) for n in ("key", "t", "c", "body", "j")}, "key long, j int, first long, low long, high long, n int, body binary", cut))
-    left, right = blocks.alias("l"), blocks.alias("r")
+    sides = blocks.groupBy("key", "j").agg(F.ceil(F.count(F.lit(1)) / rules.cell).cast("int").alias("sides"))
+    placed = join_hot(blocks, sides, ["key", "j"], "inner", "first", blocks.count())
+    own, all_sides = F.pmod(F.xxhash64("first"), F.col("sides")).cast("int"), F.sequence(F.lit(0), F.col("sides") - 1)
+    cells = lambda across: F.explode(F.transform(all_sides, lambda x: F.struct((x if across else own).alias("a"), (own if across else x).alias("b"))))
+    left, right = (placed.select("*", cells(across).alias("cell")).alias(name) for name, across in (("l", False), ("r", True)))
     several = (F.col("l.low") != F.col("l.high")) | (F.col("r.low") != F.col("r.high")) | (F.col("l.low") != F.col("r.low"))
-    both = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.first") <= F.col("r.first")) & several)
+    same_cell = (F.col("l.key") == F.col("r.key")) & (F.col("l.j") == F.col("r.j")) & (F.col("l.cell.a") == F.col("r.cell.a")) & (F.col("l.cell.b") == F.col("r.cell.b"))
+    both = left.join(right, same_cell & (F.col("l.first") <= F.col("r.first")) & several)
     columns = {"j": F.col("l.j"), "n1": F.col("l.n"), "n2": F.col("r.n"), "x": F.col("l.body"), "y": F.col("r.body")}
     return map_batches(both, columns, "a long, b long", compare).distinct()
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame:
-    """The pairs whose alignment reaches the similarity. One side's sequences travel with the pairs, the other's once each."""
+    """The pairs whose alignment reaches the similarity. One side's sequences travel with the pairs, the other's once each,
+    and some times more for a text in very many pairs."""
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         for batch in batches:
@@ -332,8 +340,10 @@ def _verified(pairs: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame
                     b.append(tb)
             yield {"a": a, "b": b}
 
-    right = pairs.join(sequences.select(F.col("t").alias("b"), F.col("seq").alias("y")), "b")
-    both = right.join(sequences.select(F.col("t").alias("a"), F.col("seq").alias("x")), "a")
+    n = pairs.count()
+    right = join_hot(pairs, sequences.select(F.col("t").alias("b"), F.col("seq").alias("y")), ["b"], "inner", "a", n)
+    # which keys are frequent is read from the pairs alone, so that the sequences of one side are not made twice
+    both = join_hot(right, sequences.select(F.col("t").alias("a"), F.col("seq").alias("x")), ["a"], "inner", "b", n, pairs)
     return map_batches(both, {n: F.col(n) for n in ("a", "b", "x", "y")}, "a long, b long", run)
 
 
@@ -344,11 +354,12 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of a chain's length; nothing is collected. Files
     of earlier rounds are released as soon as a round is checkpointed.
     """
+    n = labels.count()
     both = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     while True:
         near = both.join(labels.select(F.col("t").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         step = cut_lineage(labels.join(near, labels["t"] == near["u"], "left").select("t", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
-        jumped = step.join(step.select(F.col("t").alias("p"), F.col("c").alias("pc")), F.col("c.t") == F.col("p"), "left")
+        jumped = join_hot(step.withColumn("p", F.col("c.t")), step.select(F.col("t").alias("p"), F.col("c").alias("pc")), ["p"], "left", "t", n)
         labels = cut_lineage(jumped.select("t", "old", F.least("c", F.coalesce("pc", "c")).alias("c")))
         moved = labels.where(F.col("old") != F.col("c")).limit(1).count()
         labels = labels.select("t", "c")
@@ -360,9 +371,8 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, class_id, first): one row per document; ``first`` is the text of the class that stays, with id or, in a class without ids, without."""
-    buckets = min(65_536, max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     texts = _texts(docs, id_col, text_col)
-    shared = _shared_bands(texts, rules, buckets)
+    shared = _shared_bands(texts, rules)
     ids = texts.select("id", "t")
     first = ids.groupBy("t").agg(F.min("id").alias("id"))
 
@@ -370,8 +380,9 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
         for b in batches:
             yield {"t": b["t"], "seq": [(kmers(x.as_py(), rules.k) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b["text"]]}
 
-    needed = texts.select("t", "text").join(shared.select("t").hint("shuffle_hash"), "t", "left_semi")
-    sequences = cut_lineage(map_batches(needed, {c: F.col(c) for c in ("t", "text")}, "t long, seq binary", sequence).dropDuplicates(["t"]))
+    # of exact copies each task sends one
+    needed = texts.select("t", "text").dropDuplicates(["t"]).join(shared.select("t").hint("shuffle_hash"), "t", "left_semi")
+    sequences = cut_lineage(map_batches(needed, {c: F.col(c) for c in ("t", "text")}, "t long, seq binary", sequence))
     rows = cut_lineage(_bucket_rows(shared, rules))
     label = F.struct(F.col("id").isNull().alias("none"), "id", "t")  # nulls last
     labels = cut_lineage(shared.select("t").join(first, "t").select("t", label.alias("c")))
@@ -390,7 +401,8 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
         if not good.isEmpty():
             labels = components(labels, edges)
     found = first.join(labels, "t", "left").select("t", F.coalesce("c", label).alias("c"))
-    return ids.join(found, "t").select("id", "t", F.coalesce("c.id", "c.t").alias("class_id"), (F.col("id").eqNullSafe(F.col("c.id")) & (F.col("t") == F.col("c.t"))).alias("first"))
+    told = join_hot(ids, found, ["t"], "inner", "id", docs.count())
+    return told.select("id", "t", F.coalesce("c.id", "c.t").alias("class_id"), (F.col("id").eqNullSafe(F.col("c.id")) & (F.col("t") == F.col("c.t"))).alias("first"))
 
 
 def class_digest(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -400,8 +412,9 @@ def class_digest(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def first_of_each(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the near-copies: of each class the one with the smallest id stays, of repeated rows one."""
-    # the same two keys serve the join and the removal of repeated rows, so that texts are shuffled once here
+    # repeated rows go before the shuffle; its two keys serve their removal and the join, so that texts are shuffled once here
+    k, h = fresh(docs.columns, "__k"), fresh(docs.columns, "__h")
     key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    firsts = classes(docs, rules, id_col, text_col).where("first").select(key(F.col("id")).alias("__k"), F.col("t").alias("__h")).distinct()
-    marked = docs.withColumns({"__k": key(F.col(id_col).cast("long")), "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return marked.join(firsts.hint("shuffle_hash"), ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    firsts = classes(docs, rules, id_col, text_col).where("first").select(key(F.col("id")).alias(k), F.col("t").alias(h)).distinct()
+    marked = docs.withColumns({k: key(column(id_col).cast("long")), h: F.xxhash64(F.coalesce(column(text_col), F.lit("")))}).dropDuplicates([k, h])
+    return marked.join(firsts.hint("shuffle_hash"), [k, h], "left_semi").select(*(column(c) for c in docs.columns))

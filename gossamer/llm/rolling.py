@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from gossamer.llm.common import Memo, kept_for_task
+
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = kept_for_task({})
 
 
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,18 +39,14 @@ def window_hashes(words: np.ndarray, length: int, starts: np.ndarray | None = No
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; emptied when full."""
+_WORDS = Memo(xxhash.xxh3_64_intdigest)
+
 
-    def __init__(self, seed: int = 0, most: int = 600_000) -> None:
-        super().__init__()
-        self.seed, self.most = seed, most
+def word_hashes(words: list) -> np.ndarray:
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
-    def __missing__(self, word: bytes | str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
 
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def second(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words: windows over both are equal by chance once in 2**128."""
+    h = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gossamer.llm import repeats
-from gossamer.llm.common import map_batches
-from gossamer.llm.rolling import WordHashes, window_hashes
+from gossamer.llm.common import column, map_batches, type_of
+from gossamer.llm.rolling import second, window_hashes, word_hashes
 
 NO_ID = -(1 << 63)
 
@@ -58,53 +59,51 @@ class Windows:
         return self.window - self.period + 1
 
 
-_HASHES: dict[int, WordHashes] = {}
-
-
 def _words(text: bytes | None) -> list[bytes]:
     """bytes.split() splits at exactly the six ASCII white-space characters."""
     return (text or b"").split()
 
 
-def _hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
-    return _HASHES.setdefault(seed, WordHashes(seed)).of(words)
-
-
 def _expand(runs: list[int] | None) -> np.ndarray:
     if not runs:
         return np.zeros(0, np.int64)
     return np.concatenate([np.arange(a, b) for a, b in zip(runs[::2], runs[1::2], strict=True)])
 
 
-def repeated_windows(docs: DataFrame, rules: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, copies, starts): the documents as (k, tag, doc_id, text), which are exact copies, and where repeated windows start.
+def repeated_windows(docs: DataFrame, rules: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(texts, starts): the documents as (k, tag, doc_id, text, first), and where repeated windows start.
 
-    The texts are shuffled once, by (k, tag); the three joins reuse that exchange.
+    ``first`` is set for texts that have exact copies, and true for one of them. The texts are shuffled once, by
+    (k, tag): all joins need the same columns, so that they reuse that exchange.
     """
-    n = min(65_536, max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     w, cover, period, length = rules.window, np.array(difference_cover(rules.period)), rules.period, rules.anchor
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.col(text_col)).alias("tag"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    key = F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("k")
+    tag = F.hash(column(text_col)).alias("tag")
+    texts = docs.select(key, tag, column(id_col).alias("doc_id"), column(text_col).cast("binary").alias("text"))
+    size, rows = docs.agg(F.sum(F.octet_length(column(text_col))), F.count(F.lit(1))).first()
+    ranges = repeats.Ranges.over(docs, (size or 0) / 6 * len(cover) / period)
 
     # exact copies: only the first of them takes part below
-    whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.hash(F.col(text_col)).alias("tag"), F.xxhash64(text_col, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), text_col).alias("b"))
-    digest = whole.where(F.col("a").isNotNull()).select("k", "tag", F.xxhash64("a", "b").alias("h"))
-    one = np.zeros(1, np.int32)
-    copies = repeats.find(repeats.send(digest, {c: F.col(c) for c in ("k", "tag", "h")}, lambda r: iter([(np.array([r["h"]], np.int64).view(np.uint64), r["k"], r["tag"], one)]), n, True), n, True)
+    whole = docs.where(column(text_col).isNotNull()).select(key, tag, F.xxhash64(column(text_col), F.lit(1)).alias("a"), F.xxhash64(F.lit(2), column(text_col)).alias("b"))
+    one, few = np.zeros(1, np.int32), repeats.Ranges.over(docs, rows)
+    digests = lambda r: iter([(np.array([r["a"]]).view(np.uint64), np.array([r["b"]]).view(np.uint64), r["k"], r["tag"], one)])
+    copies = repeats.find(repeats.send(whole, {c: F.col(c) for c in ("k", "tag", "a", "b")}, digests, few, True), few, True)
     copies = copies.select("k", "tag", F.array_contains(F.filter("runs", lambda x, i: i % 2 == 0), 0).alias("first"))
 
-    def anchors(r: dict[str, Any]) -> Iterator[tuple]:
+    def anchors(r: dict[str, Any]) -> Iterator[repeats.Entry]:
         words = _words(r["text"])
         m = len(words)
         if m >= w:
             at = (np.arange(0, m - length + 1, period)[:, None] + cover[None, :]).ravel()
             at = at[at <= m - length]
-            yield window_hashes(_hashes(words), length, at) & np.uint64(0xFFFFFFFFFFFF0000), r["k"], r["tag"], at
+            yield window_hashes(word_hashes(words), length, at) & np.uint64(0xFFFFFFFFFFFF0000), None, r["k"], r["tag"], at
 
     joined = texts.join(copies.hint("shuffle_hash"), ["k", "tag"], "left")
     leading = joined.where(F.col("first").isNull() | F.col("first"))
-    candidates = repeats.find(repeats.send(leading, {c: F.col(c) for c in ("k", "tag", "text")}, anchors, n), n)
+    # the id goes along for the sake of the exchange alone
+    candidates = repeats.find(repeats.send(leading, {c: F.col(c) for c in ("k", "tag", "doc_id", "text")}, anchors, ranges), ranges)
 
-    def extended(r: dict[str, Any]) -> Iterator[tuple]:
+    def extended(r: dict[str, Any]) -> Iterator[repeats.Entry]:
         words = _words(r["text"])
         m = len(words)
         if m >= w:
@@ -115,16 +114,17 @@ def repeated_windows(docs: DataFrame, rules: Windows = Windows(), id_col: str =
             np.add.at(near, at + 1, -1)
             starts = np.flatnonzero(np.cumsum(near)[: m - w + 1])
             if len(starts):
-                yield window_hashes(_hashes(words, 1), w, starts, 1), r["k"], r["tag"], np.full(len(starts), -1) if r["first"] else starts
+                h = word_hashes(words)
+                yield window_hashes(h, w, starts, 1), window_hashes(second(h), w, starts), r["k"], r["tag"], np.full(len(starts), -1) if r["first"] else starts
 
     around = joined.join(candidates.hint("shuffle_hash"), ["k", "tag"]).where(F.col("first").isNull() | F.col("first"))
-    starts = repeats.find(repeats.send(around, {c: F.col(c) for c in ("k", "tag", "text", "first", "runs")}, extended, n), n)
-    return joined, copies, starts
+    starts = repeats.find(repeats.send(around, {c: F.col(c) for c in ("k", "tag", "doc_id", "text", "first", "runs")}, extended, ranges), ranges)
+    return joined, starts
 
 
 def dedup_digest(docs: DataFrame, rules: Windows = Windows()) -> DataFrame:
     """The registered query: words, removed words and a digest of those that stay."""
-    joined, _, starts = repeated_windows(docs, rules)
+    joined, starts = repeated_windows(docs, rules)
     w = rules.window
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
@@ -159,12 +159,12 @@ def _kept(words: list[bytes], first: bool | None, runs: list[int] | None, window
 
 def without_repeats(docs: DataFrame, rules: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text: the words that stay, joined by single spaces."""
-    joined, _, starts = repeated_windows(docs, rules, id_col, text_col)
+    joined, starts = repeated_windows(docs, rules, id_col, text_col)
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         for b in batches:
-            yield {id_col: b["doc_id"], text_col: [b" ".join(kept_words(_words(t.as_py()), f, r.as_py(), rules.window)).decode("utf-8", "replace") for t, f, r in zip(b["text"], b["first"].to_pylist(), b["runs"], strict=True)]}
+            yield {"doc_id": b["doc_id"], "text": [b" ".join(kept_words(_words(t.as_py()), f, r.as_py(), rules.window)).decode("utf-8", "replace") for t, f, r in zip(b["text"], b["first"].to_pylist(), b["runs"], strict=True)]}
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    output = StructType([StructField("doc_id", type_of(docs, id_col)), StructField("text", StringType())])
     last = joined.join(starts.hint("shuffle_hash"), ["k", "tag"], "left")
-    return map_batches(last, {c: F.col(c) for c in ("doc_id", "text", "first", "runs")}, f"`{id_col}` {kind}, `{text_col}` string", run)
+    return map_batches(last, {c: F.col(c) for c in ("doc_id", "text", "first", "runs")}, output, run).toDF(id_col, text_col)

@@ -23,25 +23,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gossamer.llm.common import map_batches, sampled
+from gossamer.llm.common import Memo, column, map_batches, sampled, slices, type_of
 
 _WORD = re.compile(r"\w+")
 STEM = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class Words(dict):
-    """Word -> 64-bit hashes of the word and of its stem (the first ``STEM`` letters); emptied when full."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:STEM], 1))
-        return h
-
-
-_WORDS = Words()
+#: Word -> 64-bit hashes of the word and of its stem (the first ``STEM`` letters).
+_WORDS = Memo(lambda word: (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:STEM], 1)))
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
@@ -99,24 +91,31 @@ def fit(rows: list[np.ndarray], labels: list[int], s: Ftrl) -> tuple[np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, settings: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Weights:
     """Learn from at most about ``settings.most_rows`` labelled rows, chosen by a hash of the id.
 
-    One task runs the optimiser over the sample; its sparse weights (at most
-    2**bits pairs) are what reaches the driver.
+    Features are made where the texts are. One task runs the optimiser over the bins of the sample, whose number
+    follows the words of those rows; its sparse weights (at most 2**bits pairs) are what reaches the driver.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
-    chosen = sampled(known, id_col, settings.most_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    label = labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("y"))
+    known = label.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = sampled(known, "id", settings.most_rows)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
-    def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
+    def bins_of(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
+        for b in batches:
+            for lo, hi in slices(b["y"]):
+                yield {c: b[c][lo:hi] for c in ("k", "h", "y")} | {"bins": [features(t, settings.bits).astype(np.int32).tobytes() for t in b["text"][lo:hi].to_pylist()]}
+
+    def learn(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         x, y = [], []
         for b in batches:
-            x += [features(t, settings.bits).astype(np.int32) for t in b["text"].to_pylist()]
+            x += [np.frombuffer(v.as_py(), np.int32) for v in b["bins"]]
             y += b["y"].to_pylist()
         if x:
             bins, values = fit(x, y, settings)
             yield {"bin": bins, "weight": values}
 
-    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64(id_col), id_col, text_col)
-    found = map_batches(ordered, {"text": F.col(text_col), "y": F.col("__y")}, "bin int, weight double", run).toPandas()
+    columns = {"k": F.xxhash64("id"), "h": F.xxhash64("text"), "y": F.col("y"), "text": F.col("text")}
+    made = map_batches(rows, columns, "k long, h long, y int, bins binary", bins_of)
+    found = map_batches(made.repartition(1).sortWithinPartitions("k", "h"), {c: F.col(c) for c in ("bins", "y")}, "bin int, weight double", learn).toPandas()
     return Weights(found["bin"].to_numpy(np.int64), found["weight"].to_numpy(np.float32), settings.bits)
 
 
@@ -128,10 +127,10 @@ def score(df: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str
         dense, bits = shared.value.dense(), shared.value.bits
         for b in batches:
             total = np.array([float(dense[features(t.as_py(), bits)].sum()) for t in b["text"]])
-            yield {id_col: b["id"], "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))}
+            yield {"id": b["id"], "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df, {"id": F.col(id_col), "text": F.col(text_col)}, f"`{id_col}` {kind}, score double", run)
+    output = StructType([StructField("id", type_of(df, id_col)), StructField("score", DoubleType())])
+    return map_batches(df, {"id": column(id_col), "text": column(text_col)}, output, run).toDF(id_col, "score")
 
 
 def fold(id_col: Column) -> Column:
