@@ -14,6 +14,7 @@ id, text and label are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from gossamer.llm.common import map_batches, slices
+from gossamer.llm.common import column, kept_for_task, map_batches, slices, struct_type, type_of
 
 UNDETERMINED = "und"
 
@@ -38,11 +40,16 @@ class Space:
 
 
 class Encoder:
-    """Texts -> document vectors. Letters get small codes as they are seen, so that an n-gram's row is one table look-up."""
+    """Texts -> document vectors. Letters get small codes as they are seen, so that an n-gram's row is one table look-up.
 
-    def __init__(self, space: Space, most: int = 40_000) -> None:
+    At most about ``most`` n-grams have a row, of ``dims`` bytes each; a text with more of them is bundled in pieces.
+    """
+
+    PIECE = 50_000
+
+    def __init__(self, space: Space, most: int = 20_000) -> None:
         self.space, self.most = space, most
-        self.alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.alpha = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
         self.reset()
 
     def reset(self) -> None:
@@ -51,23 +58,16 @@ class Encoder:
         self.letters = [self.vector(32)]
         self.rows: dict[int, int] = {}
         self.slots = np.full(1 << 18, -1, np.int32)
-        self.vectors = np.zeros((1024, self.space.dims), np.float32)
+        self.vectors = np.zeros((1024, self.space.dims), np.int8)
 
     def vector(self, code: int) -> np.ndarray:
         return np.random.default_rng([self.space.seed, code]).integers(0, 2, self.space.dims).astype(np.int8) * 2 - 1
 
     def letters_of(self, text: str) -> np.ndarray:
-        """Small codes of lower-case letters; each run of other characters is one 0 (space), also at both ends."""
+        """Lower-case letters as code points; each run of other characters is one 0 (space), also at both ends."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        alpha = self.alpha[points]
-        codes = np.where(alpha, self.codes[points], 0)
-        if (codes[alpha] == 0).any():
-            for c in np.unique(points[alpha & (codes == 0)]).tolist():
-                self.codes[c] = len(self.letters)
-                self.letters.append(self.vector(c))
-            codes = np.where(alpha, self.codes[points], 0)
-        codes = np.concatenate(([0], codes, [0]))
-        return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))].astype(np.int64)
+        points = np.concatenate(([0], np.where(self.alpha[points], points, 0), [0])).astype(np.uint32)
+        return points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]
 
     def row_of(self, key: int) -> int:
         """The row of a packed n-gram, made when first seen."""
@@ -83,14 +83,23 @@ class Encoder:
             self.vectors[row] = bound
         return row
 
-    def grams(self, text: str | None) -> np.ndarray:
-        """Rows of all n-grams of a text; none where it has no letter."""
-        if not text:
-            return np.zeros(0, np.int64)
-        codes = self.letters_of(text)
+    def pieces(self, text: str | None) -> Iterator[np.ndarray]:
+        """The letters of a text in pieces that overlap by all but one of an n-gram's letters; nothing where it has none."""
+        points, n = self.letters_of(text) if text else np.zeros(0, np.uint32), self.space.order
+        if points.any():
+            for lo in range(0, len(points) - n + 1, self.PIECE):
+                yield points[lo : lo + self.PIECE + n - 1]
+
+    def grams(self, points: np.ndarray) -> np.ndarray:
+        """Rows of all n-grams of a piece."""
+        codes = self.codes[points]
+        if (unknown := (codes == 0) & (points != 0)).any():
+            for c in np.unique(points[unknown]).tolist():
+                self.codes[c] = len(self.letters)
+                self.letters.append(self.vector(c))
+            codes = self.codes[points]
+        codes = codes.astype(np.int64)
         n = self.space.order
-        if len(codes) < n or not codes.any():
-            return np.zeros(0, np.int64)
         keys = np.zeros(len(codes) - n + 1, np.int64)
         for k in range(n):
             keys = (keys << 20) | codes[k : len(codes) - n + 1 + k]
@@ -107,22 +116,39 @@ class Encoder:
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """One vector per text; all zeros where a text has no letter."""
+        out = np.zeros((len(texts), self.space.dims), np.float32)
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for piece in self.pieces(text):
+                held.append((i, piece))
+                size += len(piece)
+                if size >= self.PIECE:
+                    self._bundle(held, out)
+                    held, size = [], 0
+        if held:
+            self._bundle(held, out)
+        return out
+
+    def _bundle(self, held: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+        """Add the n-gram vectors of some pieces to their texts' vectors. All sums are of whole numbers, so pieces change nothing."""
         if len(self.rows) > self.most or len(self.letters) > 0xFFFF:
             self.reset()
-        grams = [self.grams(t) for t in texts]
-        out = np.zeros((len(texts), self.space.dims), np.float32)
-        joined = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-        if not len(joined):
-            return out
+        grams = [self.grams(piece) for _, piece in held]
+        joined = np.concatenate(grams)
         present = np.flatnonzero(np.bincount(joined, minlength=len(self.rows)))
         place = np.zeros(len(self.rows), np.int64)
         place[present] = np.arange(len(present))
-        doc = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-        counts = np.bincount(doc * len(present) + place[joined], minlength=len(texts) * len(present))
-        return counts.reshape(len(texts), len(present)).astype(np.float32) @ self.vectors[present]
+        nth = np.repeat(np.arange(len(held)), [len(g) for g in grams])
+        owners = [i for i, _ in held]
+        for lo in range(0, len(present), 4096):
+            some = present[lo : lo + 4096]
+            own = (place[joined] >= lo) & (place[joined] < lo + 4096)
+            counts = np.bincount(nth[own] * len(some) + place[joined][own] - lo, minlength=len(held) * len(some))
+            np.add.at(out, owners, counts.reshape(len(held), len(some)).astype(np.float32) @ self.vectors[some].astype(np.float32))
 
 
-_ENCODERS: dict[Space, Encoder] = {}
+_ENCODERS: dict[Space, Encoder] = kept_for_task({})
 
 
 def encoder(space: Space) -> Encoder:
@@ -141,16 +167,15 @@ class Profiles:
 def train(labelled: DataFrame, space: Space = Space(), per_language: int = 1_500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Profiles:
     """Bundle about ``per_language`` documents of each language, chosen by a hash of the id; that is the stated bound.
 
-    Only (languages x dims) sums reach the driver.
+    Only one row of ``dims`` sums for each language reaches the driver, as the model does in any case.
     """
-    rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+    rows = labelled.select(column(id_col).alias("id"), column(text_col).alias("text"), column(label_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Profiles((), np.zeros((0, space.dims), np.float32), space)
     scale = 1_000_003
-    keep = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        keep = keep | ((F.col(label_col) == lang) & (F.abs(F.xxhash64(F.col(id_col), F.lit("profile")) % scale) < max(1, int(scale * min(1.0, per_language / n)))))
+    shares = F.from_json(F.lit(json.dumps({lang: max(1, int(scale * min(1.0, per_language / n))) for lang, n in counts.items()})), "map<string,int>")
+    keep = F.abs(F.xxhash64("id", F.lit("profile")) % scale) < F.try_element_at(shares, F.col("lang"))
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         enc, sums = encoder(space), {}
@@ -165,7 +190,7 @@ def train(labelled: DataFrame, space: Space = Space(), per_language: int = 1_500
         if sums:
             yield {"lang": list(sums), "sums": [s.tolist() for s in sums.values()]}
 
-    partial = map_batches(rows.where(keep), {"lang": F.col(label_col), "text": F.col(text_col)}, "lang string, sums array<double>", run)
+    partial = map_batches(rows.where(keep), {c: F.col(c) for c in ("lang", "text")}, "lang string, sums array<double>", run)
     total = partial.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("s")).collect()
     languages = tuple(sorted({r["lang"] for r in total}))
     prototypes = np.zeros((len(languages), space.dims))
@@ -175,16 +200,18 @@ def train(labelled: DataFrame, space: Space = Space(), per_language: int = 1_500
     return Profiles(languages, (prototypes / np.where(size == 0, 1, size)).astype(np.float32), space)
 
 
-def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns ``keep``, lang_pred and score (the cosine with the best prototype, cut to 0..1)."""
+def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """id, the columns ``keep``, ``lang_col`` and ``score_col`` (the cosine with the best prototype, cut to 0..1)."""
     languages, prototypes, space = [*profiles.languages], profiles.prototypes, profiles.space
+    wanted = list(dict.fromkeys([id_col, *keep]))
+    names = [f"k{i}" for i in range(len(wanted))]
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         enc = encoder(space)
         for b in batches:
             preds, scores = [], []
-            for lo, hi in slices(b[id_col], 64):
-                v = enc.documents(b[text_col][lo:hi].to_pylist())
+            for lo, hi in slices(b["t"], 64):
+                v = enc.documents(b["t"][lo:hi].to_pylist())
                 size = np.linalg.norm(v, axis=1)
                 if not languages:
                     preds += [UNDETERMINED] * (hi - lo)
@@ -194,12 +221,11 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
                 best = cosine.argmax(1)
                 preds += [languages[k] if s else UNDETERMINED for k, s in zip(best.tolist(), size.tolist(), strict=True)]
                 scores += np.where(size == 0, 0, np.clip(cosine[np.arange(len(best)), best], 0, 1)).astype(float).tolist()
-            yield {c: b[c] for c in wanted} | {"lang_pred": preds, "score": scores}
+            yield {n: b[n] for n in names} | {"lang": preds, "score": scores}
 
-    wanted = list(dict.fromkeys([id_col, *keep]))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in wanted] + ["lang_pred string", "score double"])
-    return map_batches(df, {c: F.col(c) for c in dict.fromkeys([*wanted, text_col])}, ddl, run)
+    output = StructType([*(StructField(n, type_of(df, c)) for n, c in zip(names, wanted, strict=True)), *struct_type("lang string, score double")])
+    columns = {n: column(c) for n, c in zip(names, wanted, strict=True)} | {"t": column(text_col)}
+    return map_batches(df, columns, output, run).toDF(*wanted, lang_col, score_col)
 
 
 def fold(id_col: Column) -> Column:
