@@ -10,41 +10,43 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gossamer.llm import bpe, decontam, langid, neardup, secrets
-from gossamer.llm.common import table
+from gossamer.llm.common import column, fresh, table
 from gossamer.session import ensure_checkpoint_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what has no letter, or nothing in common with any known language."""
+    """Drop what has no letter (null and empty texts among it), or nothing in common with any known language.
+
+    Rows with a null id or language stay if their text is known; repeated rows all do; an empty table stays empty.
+    """
     profiles = langid.train(docs)
-    found = langid.identify(docs, profiles, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select(*docs.columns)
+    lang, score = (fresh(docs.columns, c) for c in ("lang_pred", "score"))
+    found = langid.identify(docs, profiles, keep=tuple(docs.columns), lang_col=lang, score_col=score)
+    return found.where((column(lang) != langid.UNDETERMINED) & (column(score) > 0)).select(*map(column, docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each class of near-copies."""
-    return neardup.first_of_each(docs).select(*docs.columns)
+    """Keep the document with the smallest id of each class of near-copies, one of repeated rows.
+
+    Null ids come last; of a class without ids one text stays. Null and empty texts are copies of each other.
+    """
+    return neardup.first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark."""
+    """Drop documents that hold an item of the benchmark. Null and empty texts hold none, null and empty items are in none."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets by a mask; n_chars follows."""
-    model = secrets.train(secrets.labelled_samples(spark, docs))
-    others = tuple(c for c in docs.columns if c != "text")
-    found = secrets.find_secrets(docs, model, keep=tuple(c for c in others if c != "doc_id"))
-    masked = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans"))).withColumn("n_chars", F.length("text").cast("long"))
-    return masked.select(*docs.columns)
+    """Replace secrets by a mask; n_chars follows. All rows stay; texts without a secret, null ones too, stay as they are."""
+    return secrets.mask(docs, secrets.train(secrets.labelled_samples(spark, docs)))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it exactly."""
+    """Token ids of each text, and whether they decode to it exactly. A null or empty text has none; all rows stay."""
     return bpe.tokenized(docs)
 
 
