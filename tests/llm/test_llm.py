@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gossamer.llm import bpe, chatformat, decontam, imatch, langid, licenses, neardup, secrets, substrings, toxicity
@@ -127,6 +128,38 @@ def test_toxicity(spark, hard, empty):
 # ---- fingerprints ----
 
 
+def plain_fingerprint(text, known):
+    """Signatures written out: sorted hashes of the lexicon's words, then of those that each subset's own hash selects."""
+    m = (1 << 64) - 1
+    own = sorted(xxhash.xxh3_64_intdigest(w) >> 16 for w in set(text.lower().split()) & known)
+    if not own:
+        return "0" + hashlib.sha256(text.encode()).hexdigest()[:31]
+    pack = lambda terms: b"".join(t.to_bytes(8, "little") for t in terms)
+    out = [xxhash.xxh3_64_hexdigest(pack(own))]
+    for r in range(30):
+        chosen = []
+        for t in own:
+            h = (t ^ ((r + 1) * 0x9E3779B97F4A7C15 & m)) * 0xD6E8FEB86659FD93 & m
+            h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & m
+            if (h ^ (h >> 32)) % (4, 16, 64, 256, 1024)[r // 6] == 0:
+                chosen.append(t)
+        out.append(f"{xxhash.xxh3_64_intdigest(pack(chosen)) & 0xFFFFFFFF:08x}" if chosen else "")
+    return ".".join(out)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    a, b = a.split(".")[1:], b.split(".")[1:]
+    if len(a) != len(b) or not a:
+        return 0.0
+    shares = []
+    for k in range(0, 30, 6):
+        told = [(x, y) for x, y in zip(a[k : k + 6], b[k : k + 6], strict=True) if x or y]
+        shares.append(sum(x == y for x, y in told) / (len(told) + 0.5))
+    return max(0.0, *shares)
+
+
 def test_fingerprints(spark, hard, empty):
     rows = [(i * 7 % 401, prose(i % 90, 30 + i % 50), "en") for i in range(120)]
     df = table(spark, rows).repartition(5)
@@ -142,8 +175,14 @@ def test_fingerprints(spark, hard, empty):
     assert all(len(x) == 1 for x in by_text.values())
     counts = collections.Counter(w for _, t, _ in rows for w in set(t.split()))
     freq = imatch.document_frequencies(df, 5, 20, buckets=7).collect()
-    terms = imatch.Terms()
-    assert {r["term"]: r["df"] for r in freq} == {terms[w]: n for w, n in counts.items() if 5 <= n <= 20}
+    assert {r["term"]: r["df"] for r in freq} == {int(imatch.terms_of(w)[0]): n for w, n in counts.items() if 5 <= n <= 20}
+    known = {w for w, n in counts.items() if max(1, math.ceil(0.002 * len(rows))) <= n <= int(0.2 * len(rows))}
+    for (i, text, _), (_, following, _) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        prints = [plain_fingerprint(t, known) for t in (text, text[: len(text) - len(text) // 3] + following[: len(text) // 3], following)]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (prints[0], prints[1])
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (plain_likeness(prints[0], prints[1]), plain_likeness(prints[0], prints[2]))
+    joined = {r["doc_id"]: r for r in imatch.fingerprint_digest(df, imatch.Band(most_terms=3)).collect()}
+    assert joined == got
     assert imatch.fingerprint_digest(hard).count() == hard.count() and imatch.fingerprint_digest(empty).count() == 0
     alone = imatch.fingerprint_digest(table(spark, [(1, "abcdef", "en")])).first()
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and alone["near_next"] == 1.0
@@ -362,7 +401,7 @@ def test_decontamination(spark, hard, empty):
     docs = table(spark, rows)
     got = {(r["doc_id"], r["item_id"]): r["replaced"] for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(1, 2): False, (2, 1): True, (6, 3): False, (7, 2): False}
-    small = decontam.Rules(most_windows=20)
+    small = decontam.Rules(bits=16, common=0, most_keys=0)
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench, small).collect()} == set(got)
     assert sorted(r["doc_id"] for r in decontam.clean(docs, bench, small).collect()) == [3, 4, 5] and decontam.clean(docs, bench).columns == docs.columns
     assert decontam.contaminated(hard, bench).count() == 0 and decontam.contaminated(empty, bench).count() == 0 and decontam.clean(hard, bench.limit(0)).count() == hard.count()
@@ -418,22 +457,3 @@ def test_language(spark, hard, empty):
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got if r["doc_id"] >= 900} == {900: ("und", 0.0), 901: ("und", 0.0)}
     assert langid.language_digest(hard).count() == hard.count() and langid.language_digest(empty).count() == 0
     assert langid.language_digest(table(spark, [(1, "word", None)])).first()["lang_pred"] == "und"
-
-
-# ---- pipeline ----
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    rows = [(i, prose(i, 80), "en") for i in range(30)]
-    rows += [(100, rows[3][1], "en"), (101, "?? 11", "en"), (102, prose(200, 40) + " token=abcdefgh12 " + prose(201, 30), "en"), (103, prose(202, 20) + " " + prose(9, 30) + " " + prose(203, 20), "en"), (104, None, None)]
-    folder = str(tmp_path)
-    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, prose(9, 30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
-    assert set(out) == {*range(30), 102}
-    assert all(r["exact"] for r in out.values())
-    masked = bpe.codec(open(bpe.default_vocabulary(), "rb").read()).decode(out[102]["ids"])
-    assert "[SECRET]" in masked and "abcdefgh12" not in masked
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "bpe"] and corpus_pipeline.ORACLE_SQL is None
