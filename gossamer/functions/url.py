@@ -17,7 +17,7 @@ SESSION_PARAMETER = r"(?i)(session|sid|jsession|phpsess)"
 # Links that are never followed; signs that a page needs JavaScript.
 SKIPPED_LINK = r"(?i)^(javascript:|mailto:|tel:|data:|#|about:|blob:)"
 SCRIPTED_URL = r"angular|react|vue|ember|backbone"
-SCRIPTED_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com")
+SCRIPTED_HOSTS = ("twitter.com", "x.com", "instagram.com", "facebook.com", "linkedin.com")
 SCRIPTED_HOST = r"(?i)(app\.|spa\.|dashboard\.)"
 
 _SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
