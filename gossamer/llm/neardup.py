@@ -6,11 +6,12 @@ in text order, so two documents agree where they share k-mers in the same order.
 Documents that agree in a sketch are candidates; candidates are verified by a
 banded alignment of the two sequences, and verified links make classes.
 
-Links are sought in rounds, each without listing the pairs of a bucket: first
-with the leader of a bucket, then with the best match outside the class found so
-far, at last with all that agree and are still in different classes. Buckets of
-any size are ranges of a sorted table, cut into blocks; the last round compares
-every two blocks of a bucket, unless both hold one and the same class only.
+Links are sought in two rounds, each without listing the pairs of a bucket: first
+with the leader of a bucket, then among all that agree and are still in different
+classes. Buckets of any size are ranges of a sorted table, cut into blocks; the last
+round compares every two blocks of a bucket, unless both hold one and the same class
+only. Blocks carry the sequences, so that a task aligns what it compares and only
+links leave it, of them no more than join the classes that it sees.
 
 Defined results: null and empty texts equal each other; a text of fewer than k
 words is one k-mer; exact copies are one text and always share a class; repeated
@@ -216,37 +217,23 @@ def _bodies(bodies: list[bytes], rules: Rules) -> tuple[np.ndarray, np.ndarray,
     return np.ascontiguousarray(raw[:, :at]).view(np.uint32), raw[:, at : at + BINS], np.ascontiguousarray(raw[:, at + BINS :]).view(np.uint32)[:, 0].astype(np.float64)
 
 
-def _pairs(rows: DataFrame, rules: Rules, mode: str) -> DataFrame:
-    """Candidate pairs of one round, at most two for each row. ``rows`` has key, other, t, body and c (the class so far).
-
-    mode leader: each text with the first of its bucket; best: with the text of another class in its block that agrees most.
-    """
+def _leader_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
+    """(a, b): each text with the first of its bucket, if they may link. ``rows`` has key, other, t and body."""
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
-        def pairs_of(block: list[tuple]) -> tuple[list[int], list[int]]:
+        def pairs_of(block: list[tuple]) -> Iterator[tuple[int, int]]:
             t = np.array([r[1] for r in block])
-            c = np.array([r[2] for r in block])
-            if len(t) < 2 or (c == c[0]).all():
-                return [], []
-            _, own, n = _bodies([r[3] for r in block], rules)
-            if mode == "leader":
+            if len(t) > 1:
+                _, own, n = _bodies([r[2] for r in block], rules)
                 first = int(np.argmin(t))
-                ok = np.flatnonzero(may_link(own[first : first + 1], n[first : first + 1], own, n, rules)[0] & (c != c[first]))
-                return [int(t[first])] * len(ok), t[ok].tolist()
-            ok = may_link(own, n, own, n, rules) & (c[:, None] != c[None, :])
-            same = np.zeros((len(t), len(t)), np.int16)
-            for j in range(BINS):
-                same += own[:, j, None] == own[None, :, j]
-            same[~ok] = -1
-            best = same.argmax(1)
-            at = np.flatnonzero(same[np.arange(len(t)), best] >= 0)
-            return t[at].tolist(), t[best[at]].tolist()
+                ok = may_link(own[first : first + 1], n[first : first + 1], own, n, rules)[0] & (t != t[first])
+                yield from ((int(t[first]), x) for x in t[ok].tolist())
 
         key_now, block, out = None, [], set()
         for b in batches:
-            for row in zip(*(b[n].to_pylist() for n in ("key", "t", "c", "body")), strict=True):
+            for row in zip(*(b[n].to_pylist() for n in ("key", "t", "body")), strict=True):
                 if row[0] != key_now or len(block) >= rules.block:
-                    out.update((min(p), max(p)) for p in zip(*pairs_of(block), strict=True))
+                    out.update((min(p), max(p)) for p in pairs_of(block))
                     # the first of a long bucket meets every block of it
                     carry = None if row[0] != key_now else min(block, key=lambda r: r[1])
                     key_now, block = row[0], [carry] if carry else []
@@ -254,67 +241,104 @@ def _pairs(rows: DataFrame, rules: Rules, mode: str) -> DataFrame:
             if len(out) > 50_000:
                 yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
                 out = set()
-        out.update((min(p), max(p)) for p in zip(*pairs_of(block), strict=True))
+        out.update((min(p), max(p)) for p in pairs_of(block))
         if out:
             yield {"a": [p[0] for p in out], "b": [p[1] for p in out]}
 
     ordered = rows.repartitionByRange("key", "other", "t").sortWithinPartitions("key", "other", "t")
-    return map_batches(ordered, {n: F.col(n) for n in ("key", "t", "c", "body")}, "a long, b long", run).distinct()
+    return map_batches(ordered, {n: F.col(n) for n in ("key", "t", "body")}, "a long, b long", run).distinct()
+
+
+_MEMBER = np.dtype([("t", np.int64), ("c", np.int64), ("n", np.int32)])
+
+
+class _Block:
+    """Texts of a bucket: members (text, class, number of k-mers), what ``_bodies`` tells of them, and their sequences."""
+
+    def __init__(self, raw: bytes, n: int, rules: Rules) -> None:
+        width, size = 4 * rules.sketches + BINS + 4, n * _MEMBER.itemsize
+        self.members = np.frombuffer(raw[:size], _MEMBER)
+        self.sketches, self.bins, self.n = _bodies([raw[size + i * width : size + (i + 1) * width] for i in range(n)], rules)
+        self.sequences = np.frombuffer(raw[size + n * width :], np.uint32)
+        self.cuts = np.concatenate(([0], np.cumsum(self.members["n"], dtype=np.int64)))
+
+    def sequence(self, i: int) -> np.ndarray:
+        return self.sequences[self.cuts[i] : self.cuts[i + 1]]
+
+    @staticmethod
+    def pack(rows: list[tuple[int, int, bytes, bytes]]) -> bytes:
+        """Of rows (text, class, body, sequence)."""
+        members = np.array([(t, c, len(seq) // 4) for t, c, _, seq in rows], _MEMBER)
+        return members.tobytes() + b"".join(r[2] for r in rows) + b"".join(r[3] for r in rows)
 
 
-_MEMBER = np.dtype([("t", np.int64), ("c", np.int64)])
+class _Classes(dict):
+    """Classes that links of this task have joined: class -> a class of the same set."""
 
+    def __missing__(self, c: int) -> int:
+        return c
 
-def _remaining_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
-    """All pairs that share a bucket, may link, and are in different classes; each from the first bucket they share.
+    def root(self, c: int) -> int:
+        while (up := self[c]) != c:
+            self[c] = c = self[up]
+        return c
 
-    Sorted by class, a bucket becomes blocks that mostly hold one class; two such
-    blocks of the same class are never compared, so that what is left follows the
-    number of texts outside the bucket's large class. The blocks of a long bucket are
-    dealt to a square of cells, one task each, of about ``rules.cell`` blocks a side.
+
+_BLOCK_BYTES = 1_000_000
+
+
+def _remaining_links(rows: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame:
+    """(a, b): links between texts that share a bucket and are in different classes, as many as join the classes of each task.
+
+    ``rows`` has key, j, t, body and c (the class so far). Only buckets of several classes are looked at. Sorted by class, a bucket
+    becomes blocks that mostly hold one class; two such blocks of the same class are never compared, so that what is left
+    follows the number of texts outside the bucket's large class. A pair is judged in the first bucket it shares. The blocks of
+    a long bucket are dealt to a square of cells, one task each, of about ``rules.cell`` blocks a side.
     """
-    width = 4 * rules.sketches + BINS + 4
 
     def cut(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         block: list[tuple] = []
-        inner = False  # whether the block starts where its bucket does
+        size = 0
 
-        def done(last: bool) -> Iterator[dict[str, Any]]:
+        def done() -> dict[str, Any]:
             c = [r[2] for r in block]
-            if min(c) != max(c) or not (inner and last):
-                body = np.array([(r[1], r[2]) for r in block], _MEMBER).tobytes() + b"".join(r[3] for r in block)
-                yield {"key": [block[0][0]], "j": [block[0][4]], "first": [block[0][1]], "low": [min(c)], "high": [max(c)], "n": [len(block)], "body": [body]}
+            return {"key": [block[0][0]], "j": [block[0][5]], "first": [block[0][1]], "low": [min(c)], "high": [max(c)], "n": [len(block)], "body": [_Block.pack([r[1:5] for r in block])]}
 
         for b in batches:
-            for row in zip(*(b[n].to_pylist() for n in ("key", "t", "c", "body", "j")), strict=True):
-                if block and row[0] != block[0][0]:
-                    yield from done(True)
-                    block, inner = [], True
-                elif len(block) >= rules.block:
-                    yield from done(False)
-                    block, inner = [], False
+            for row in zip(*(b[n].to_pylist() for n in ("key", "t", "c", "body", "seq", "j")), strict=True):
+                if block and (row[0] != block[0][0] or len(block) >= rules.block or size >= _BLOCK_BYTES):
+                    yield done()
+                    block, size = [], 0
                 block.append(row)
+                size += len(row[3]) + len(row[4])
         if block:
-            yield from done(False)
+            yield done()
 
     def compare(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
-        def members(body: bytes, n: int) -> tuple[np.ndarray, ...]:
-            size = n * _MEMBER.itemsize
-            rest = body[size:]
-            return np.frombuffer(body[:size], _MEMBER), *_bodies([rest[i * width : (i + 1) * width] for i in range(n)], rules)
-
+        known = _Classes()
         for b in batches:
-            for j, n1, n2, x, y in zip(b["j"].to_pylist(), b["n1"].to_pylist(), b["n2"].to_pylist(), b["x"], b["y"], strict=True):
-                (m1, s1, b1, k1), (m2, s2, b2, k2) = members(x.as_py(), n1), members(y.as_py(), n2)
-                ok = may_link(b1, k1, b2, k2, rules) & (m1["c"][:, None] != m2["c"][None, :])
+            for j, n1, n2, same, raw1, raw2 in zip(*(b[n].to_pylist() for n in ("j", "n1", "n2", "same")), b["x"], b["y"], strict=True):
+                x, y = _Block(raw1.as_py(), n1, rules), _Block(raw2.as_py(), n2, rules)
+                ok = may_link(x.bins, x.n, y.bins, y.n, rules) & (x.members["c"][:, None] != y.members["c"][None, :])
                 for earlier in range(j):
-                    ok &= s1[:, earlier, None] != s2[None, :, earlier]
-                p, q = np.nonzero(ok)
-                if len(p):
-                    yield {"a": np.minimum(m1["t"][p], m2["t"][q]), "b": np.maximum(m1["t"][p], m2["t"][q])}
-
-    ordered = rows.repartitionByRange("key", "c", "t").sortWithinPartitions("key", "c", "t")
-    blocks = cut_lineage(map_batches(ordered, {n: F.col(n) for n in ("key", "t", "c", "body", "j")}, "key long, j int, first long, low long, high long, n int, body binary", cut))
+                    ok &= x.sketches[:, earlier, None] != y.sketches[None, :, earlier]
+                if same:
+                    ok = np.triu(ok, 1)
+                links = []
+                for p, q in zip(*(at.tolist() for at in np.nonzero(ok)), strict=True):
+                    a, c = known.root(int(x.members["c"][p])), known.root(int(y.members["c"][q]))
+                    if a != c and aligned_similarity(x.sequence(p), y.sequence(q), rules.similarity) >= rules.similarity:
+                        known[max(a, c)] = min(a, c)
+                        links.append((int(x.members["t"][p]), int(y.members["t"][q])))
+                if links:
+                    yield {"a": [min(l) for l in links], "b": [max(l) for l in links]}
+                if len(known) > 1_000_000:
+                    known.clear()
+
+    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    wanted = join_hot(rows, mixed, ["key"], "inner", "t", rows.count()).join(sequences, "t")
+    ordered = wanted.repartitionByRange("key", "c", "t").sortWithinPartitions("key", "c", "t")
+    blocks = cut_lineage(map_batches(ordered, {n: F.col(n) for n in ("key", "t", "c", "body", "seq", "j")}, "key long, j int, first long, low long, high long, n int, body binary", cut))
     sides = blocks.groupBy("key", "j").agg(F.ceil(F.count(F.lit(1)) / rules.cell).cast("int").alias("sides"))
     placed = join_hot(blocks, sides, ["key", "j"], "inner", "first", blocks.count())
     own, all_sides = F.pmod(F.xxhash64("first"), F.col("sides")).cast("int"), F.sequence(F.lit(0), F.col("sides") - 1)
@@ -323,8 +347,8 @@ def _remaining_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
     several = (F.col("l.low") != F.col("l.high")) | (F.col("r.low") != F.col("r.high")) | (F.col("l.low") != F.col("r.low"))
     same_cell = (F.col("l.key") == F.col("r.key")) & (F.col("l.j") == F.col("r.j")) & (F.col("l.cell.a") == F.col("r.cell.a")) & (F.col("l.cell.b") == F.col("r.cell.b"))
     both = left.join(right, same_cell & (F.col("l.first") <= F.col("r.first")) & several)
-    columns = {"j": F.col("l.j"), "n1": F.col("l.n"), "n2": F.col("r.n"), "x": F.col("l.body"), "y": F.col("r.body")}
-    return map_batches(both, columns, "a long, b long", compare).distinct()
+    columns = {"j": F.col("l.j"), "n1": F.col("l.n"), "n2": F.col("r.n"), "same": F.col("l.first") == F.col("r.first"), "x": F.col("l.body"), "y": F.col("r.body")}
+    return map_batches(both, columns, "a long, b long", compare)
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame:
@@ -387,19 +411,15 @@ def classes(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     label = F.struct(F.col("id").isNull().alias("none"), "id", "t")  # nulls last
     labels = cut_lineage(shared.select("t").join(first, "t").select("t", label.alias("c")))
     release(docs.sparkSession)
-    tried: DataFrame | None = None
-    edges: DataFrame | None = None
-    for mode in ("leader", "best", "all"):
-        classed = rows.join(labels.select("t", F.xxhash64("c.id", "c.t").alias("c")), "t")
-        pairs = _remaining_pairs(classed, rules) if mode == "all" else _pairs(classed, rules, mode)
-        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        good = cut_lineage(_verified(pairs, sequences, rules))
-        edges = good if edges is None else edges.unionByName(good)
-        del classed, pairs
-        release(docs.sparkSession)
-        if not good.isEmpty():
-            labels = components(labels, edges)
+    edges = cut_lineage(_verified(cut_lineage(_leader_pairs(rows, rules)), sequences, rules))
+    release(docs.sparkSession)
+    labels = components(labels, edges) if not edges.isEmpty() else labels
+    classed = cut_lineage(rows.drop("other").join(labels.select("t", F.xxhash64("c.id", "c.t").alias("c")), "t"))
+    more = cut_lineage(_remaining_links(classed, sequences, rules))
+    del classed
+    release(docs.sparkSession)
+    if not more.isEmpty():
+        labels = components(labels, edges.unionByName(more))
     found = first.join(labels, "t", "left").select("t", F.coalesce("c", label).alias("c"))
     told = join_hot(ids, found, ["t"], "inner", "id", docs.count())
     return told.select("id", "t", F.coalesce("c.id", "c.t").alias("class_id"), (F.col("id").eqNullSafe(F.col("c.id")) & (F.col("t") == F.col("c.t"))).alias("first"))
