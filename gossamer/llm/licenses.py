@@ -1,20 +1,20 @@
 """License scans with DataFrame functions only.
 
-The units of a text are its lines, its paragraphs and the whole of it. A unit is
-normalised (lower case; runs of anything but letters and digits become one
-space) and compared with license templates by the Dice coefficient of their sets
-of word bigrams. The size of a unit's set bounds the coefficient from above, so
-templates of another size are never compared; units without any of a few words
-that every match must hold are not even normalised.
-
-Defined results: null and empty texts have no license; of equal coefficients the
-template that sorts first wins; repeated rows are each reported; units of one
-word have no bigram and match nothing; an empty table gives an empty result;
-other columns are ignored.
+A text is normalised to words (lower case; anything but letters and digits parts words, so that comment signs, quotes and line
+breaks do not matter). Each license template has some word bigrams as anchors, so many that no text that matches can do without
+all of them. Where one occurs, it proposes a window: as many words as the template has, placed so that the bigram stands where
+it stands in the template. Windows and templates are compared by the Dice coefficient of their sets of word bigrams; the
+size of a window's set bounds the coefficient from above, so that windows of another size are never compared. A notice is
+thus found wherever it stands: in a line of its own, within a paragraph, over several of them, before or after other text.
+
+Defined results: null and empty texts have no license; of equal coefficients the longer template wins, then the one that
+sorts first; repeated rows are each reported; a text of one word matches nothing; an empty table gives an empty result;
+other columns are ignored. Windows that reach over an end of the text are cut there.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import let
+from gossamer.llm.common import column, let
 
 # Notices and texts of public licenses.
 TEMPLATES = {
@@ -33,6 +33,33 @@ TEMPLATES = {
         'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    "Apache-2.0 title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "BSL-1.0 line": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
@@ -44,6 +71,8 @@ TEMPLATES = {
         "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
         "PURPOSE. See the GNU General Public License for more details."
     ),
+    "GPL-2.0 title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0 title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
@@ -53,6 +82,13 @@ TEMPLATES = {
         "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
         "SOFTWARE."
     ),
+    "LGPL-2.1 header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-3.0 title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "MIT": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
@@ -68,12 +104,29 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
+    "MPL-2.0 title": "Mozilla Public License Version 2.0 1. Definitions",
     "Reserved line": "All rights reserved.",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+        "software. 3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 
 
+def words_of(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def bigrams_of(text: str) -> set[str]:
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = words_of(text)
     return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
@@ -83,61 +136,92 @@ class Scan:
 
     dice: float = 0.8
 
+    def least(self, m: int) -> int:
+        """The least size of a set that can reach the coefficient with a set of ``m``, which is also the least that they share."""
+        return math.ceil(self.dice / (2 - self.dice) * m - 1e-9)
+
+    def most(self, m: int) -> int:
+        return math.floor((2 - self.dice) / self.dice * m + 1e-9)
+
 
-def anchors(templates: dict[str, str], dice: float) -> list[str]:
-    """Words of which every unit that reaches ``dice`` with some template holds one.
+def anchors(templates: dict[str, str], settings: Scan = Scan()) -> tuple[dict[str, dict[str, list[int]]], list[str]]:
+    """For each template its anchors (bigram -> places), and the words that they are about.
 
-    A unit must share dice / (2 - dice) of a template's bigrams; once the chosen
-    words touch more bigrams than a unit may lack, no match can avoid them all.
+    Words are chosen, long ones and those of earlier templates first, until they touch more bigrams than a match may lack:
+    then a text without any of the words, or without any of these bigrams, cannot match.
     """
     chosen: set[str] = set()
-    for text in templates.values():
-        pairs = bigrams_of(text)
-        may_lack = len(pairs) - math.ceil(dice / (2 - dice) * len(pairs) - 1e-9)
-        touched: set[str] = set()
-        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w)):
-            if len(touched) > may_lack:
+    out: dict[str, dict[str, list[int]]] = {}
+    for name, text in sorted(templates.items()):
+        words = words_of(text)
+        places: dict[str, list[int]] = {}
+        for i, (a, b) in enumerate(zip(words, words[1:])):
+            places.setdefault(f"{a} {b}", []).append(i)
+        needed = len(places) - settings.least(len(places)) + 1
+        touched: dict[str, list[int]] = {}
+        for word in sorted(set(words), key=lambda w: (w not in chosen, -len(w), w)):
+            if len(touched) >= needed:
                 break
             chosen.add(word)
-            touched |= {p for p in pairs if word in p.split()}
-    return sorted(chosen)
+            touched |= {p: at for p, at in places.items() if word in p.split()}
+        out[name] = dict(sorted(touched.items()))
+    return out, sorted(chosen)
 
 
-def _bigrams(unit: Column) -> Column:
-    words = F.filter(F.split(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    pairs = let(words, lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(pairs)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
 def scan(df: DataFrame, settings: Scan = Scan(), templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license, dice (of the best match), n_matches: one row per row of ``df``; license is null where nothing matches.
+    """id, license, dice (of the best window), n_matches, licenses: one row per row of ``df``; license is null where nothing matches.
 
-    The templates are literals in the plan; their number and size do not depend on the data.
+    ``licenses`` are the names of all templates with a window, comma-joined in order, and ``n_matches`` is their number. A
+    template that is part of another is found in it, too. The templates are literals in the plan; their number and size do not depend on the data.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    wanted = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, anchors(templates, settings.dice))) + r")(?![\p{L}\p{N}])"
-    t = settings.dice
-    bags = {name: sorted(bigrams_of(x)) for name, x in sorted(templates.items())}
-
-    def best(unit: Column) -> Column:
-        def compared(b: Column) -> Column:
-            n = F.size(b)
-            scores = []
-            for name, bag in bags.items():
-                m = len(bag)
-                fits = (n >= math.ceil(t / (2 - t) * m - 1e-9)) & (n <= math.floor((2 - t) / t * m + 1e-9))  # a size on the bound still counts
-                score = F.when(fits, 2.0 * F.size(F.array_intersect(b, F.lit(bag))) / (n + m)).otherwise(F.lit(0.0))
-                scores.append(F.struct((-F.round(score, 6)).alias("d"), F.lit(name).alias("license")))
-            return F.array_min(F.array(*scores))
-
-        return let(_bigrams(unit), compared)
-
-    units = F.concat(F.split(text, "\n", -1), F.split(text, r"\n[\x20\t]*\n", -1), F.array(text))
-    near = F.filter(F.array_distinct(units), lambda u: u.rlike(wanted))
-    found = F.filter(F.transform(near, best), lambda s: -s["d"] >= t)
-    told = F.when(text.rlike(wanted), found).otherwise(F.array().cast("array<struct<d:double,license:string>>"))
-    one = F.array_min(F.col("__found"))
-    return df.select(F.col(id_col), told.alias("__found")).select(F.col(id_col), one["license"].alias("license"), (-one["d"]).alias("dice"), F.size("__found").cast("long").alias("n_matches"))
+    names = sorted(templates)
+    bags = [sorted(bigrams_of(templates[n])) for n in names]
+    sizes = [len(words_of(templates[n])) for n in names]
+    proposed: dict[str, list[dict[str, int]]] = {}
+    by_name, words = anchors(templates, settings)
+    for t, name in enumerate(names):
+        for pair, places in by_name[name].items():
+            proposed.setdefault(pair, []).extend({"t": t, "at": i} for i in places)
+    # i folds case beyond ASCII only with u, as lower() does
+    wanted = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}])"
+    table = F.from_json(F.lit(json.dumps(proposed)), "map<string,array<struct<t:int,at:int>>>")
+    literal = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    all_bags, all_sizes = literal(bags, "array<string>"), literal(sizes, "int")
+    least, most = literal([settings.least(len(b)) for b in bags], "int"), literal([settings.most(len(b)) for b in bags], "int")
+
+    def found_in(pairs: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.get(pairs, i).isin(sorted(proposed)))
+        windows = F.flatten(F.transform(places, lambda i: F.transform(F.element_at(table, F.get(pairs, i)), lambda a: F.struct(a["t"].alias("t"), (i - a["at"]).alias("from")))))
+
+        def judged(w: Column) -> Column:
+            start = F.greatest(w["from"], F.lit(0))
+            own = F.array_distinct(F.slice(pairs, start + 1, w["from"] + F.get(all_sizes, w["t"]) - 1 - start))
+
+            def compared(b: Column) -> Column:
+                bag, n = F.get(all_bags, w["t"]), F.size(b)
+                fits = (n >= F.get(least, w["t"])) & (n <= F.get(most, w["t"]))
+                dice = F.when(fits, F.round(2.0 * F.size(F.array_intersect(b, bag)) / (n + F.size(bag)), 6)).otherwise(F.lit(0.0))
+                return F.struct((-dice).alias("d"), (-F.get(all_sizes, w["t"])).alias("size"), w["t"].alias("t"))
+
+            return let(own, compared)
+
+        return F.filter(F.transform(F.array_distinct(windows), judged), lambda s: -s["d"] >= settings.dice)
+
+    def of_text(words: Column) -> Column:
+        pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+        return let(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")), lambda p: F.when(F.size(p) > 0, found_in(p)).otherwise(none))
+
+    none = F.array().cast("array<struct<d:double,size:int,t:int>>")
+    text = F.coalesce(column(text_col), F.lit(""))
+    told = df.select(column(id_col).alias("id"), F.when(text.rlike(wanted), let(_words(text), of_text)).otherwise(none).alias("found"))
+    best, kinds = F.array_min("found"), F.array_sort(F.array_distinct(F.transform("found", lambda s: s["t"])))
+    name_of = lambda t: F.get(literal(names, "string"), t)
+    out = told.select("id", name_of(best["t"]).alias("l"), (-best["d"]).alias("d"), F.size(kinds).cast("long").alias("n"), F.array_join(F.transform(kinds, name_of), ",").alias("all"))
+    return out.toDF(id_col, "license", "dice", "n_matches", "licenses")
 
 
 def _sql_text(text: str) -> str:
@@ -145,28 +229,25 @@ def _sql_text(text: str) -> str:
 
 
 def oracle(settings: Scan = Scan(), templates: dict[str, str] = TEMPLATES) -> str:
-    """DuckDB SQL without any pruning: every distinct unit against every template."""
-    t = settings.dice
-    rows = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in sorted(templates.items()))
+    """DuckDB SQL: anchors joined with the bigrams of every text, windows cut out and compared, without any pruning."""
+    names = sorted(templates)
+    rows = ", ".join(f"({t}, {_sql_text(n)}, {_sql_text(templates[n])})" for t, n in enumerate(names))
+    by_name, _ = anchors(templates, settings)
+    places = ", ".join(f"({t}, {_sql_text(p)}, {i})" for t, n in enumerate(names) for p, at in by_name[n].items() for i in at)
     words = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    pairs = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+    pairs = "list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
-WITH templates AS (SELECT license, {words.format('body')} AS w FROM (VALUES {rows}) v(license, body)),
-bags AS (SELECT license, unnest({pairs}) AS pair FROM templates),
-sizes AS (SELECT license, count(*) AS m FROM bags GROUP BY license),
-units AS (
-  SELECT DISTINCT doc_id, unit FROM (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
-    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n[\\x20\\t]*\\n')) FROM documents
-    UNION ALL SELECT doc_id, coalesce(text, '') FROM documents)),
-worded AS (SELECT doc_id, unit, {words.format('unit')} AS w FROM units),
-listed AS (SELECT doc_id, unit, {pairs} AS ps FROM worded),
-scored AS (
-  SELECT u.doc_id, u.unit, b.license, round(2.0 * count(*) / (any_value(u.n) + any_value(s.m)), 6) AS d
-  FROM (SELECT doc_id, unit, len(ps) AS n, unnest(ps) AS pair FROM listed) u JOIN bags b USING (pair) JOIN sizes s USING (license)
-  GROUP BY u.doc_id, u.unit, b.license),
-kept AS (SELECT doc_id, unit, max(d) AS d, min(license) FILTER (d = top) AS license
-  FROM (SELECT *, max(d) OVER (PARTITION BY doc_id, unit) AS top FROM scored) GROUP BY doc_id, unit HAVING max(d) >= {t}),
-best AS (SELECT doc_id, count(*) AS n, max(d) AS dice, arg_min(license, (-d, license)) AS license FROM kept GROUP BY doc_id)
-SELECT d.doc_id, b.license, b.dice, coalesce(b.n, 0)::BIGINT AS n_matches FROM documents d LEFT JOIN best b USING (doc_id)
+WITH templates AS (SELECT t, license, {words.format('body')} AS w FROM (VALUES {rows}) v(t, license, body)),
+bags AS (SELECT t, len(w) AS size, list_distinct({pairs}) AS bag FROM templates),
+anchors AS (SELECT * FROM (VALUES {places}) v(t, pair, at)),
+worded AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+listed AS (SELECT r, doc_id, {pairs} AS ps FROM worded),
+spread AS (SELECT r, unnest(ps) AS pair, generate_subscripts(ps, 1) - 1 AS i FROM listed),
+starts AS (SELECT DISTINCT r, t, i - at AS p FROM spread JOIN anchors USING (pair)),
+windows AS (SELECT s.r, s.t, bag, size, list_distinct(ps[greatest(p, 0) + 1 : p + size - 1]) AS own FROM starts s JOIN bags USING (t) JOIN listed l ON l.r = s.r),
+scored AS (SELECT r, t, size, round(2.0 * len(list_intersect(own, bag)) / (len(own) + len(bag)), 6) AS d FROM windows),
+kept AS (SELECT r, t, size, max(d) AS d FROM scored WHERE d >= {settings.dice} GROUP BY r, t, size),
+best AS (SELECT r, max(d) AS dice, arg_min(t, (-d, -size, t)) AS t, count(*) AS n, list(t ORDER BY t) AS ts FROM kept GROUP BY r)
+SELECT w.doc_id, x.license, b.dice, coalesce(b.n, 0)::BIGINT AS n_matches, coalesce(array_to_string(list_transform(b.ts, lambda k: {[*names]!r}[k + 1]), ','), '') AS licenses
+FROM worded w LEFT JOIN best b USING (r) LEFT JOIN templates x ON x.t = b.t
 """
