@@ -235,16 +235,28 @@ def test_substrings(spark, hard, empty):
 def test_licenses(spark, hard, empty):
     import duckdb
 
+    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0 header"]
+    half = mit.index("The above")
+    comment = "/*\n" + "\n".join(f" * {line}" for line in re.findall(r".{1,70}(?:\s|$)", apache)) + "\n */\npublic class Main {\n" + prose(60, 300) + "\n}"
     rows = [
-        (1, "intro\nReleased under the MIT License.\nmore", "en"), (2, licenses.TEMPLATES["MIT"], "en"), (3, "RELEASED under  the; MIT licence", "en"), (4, "Licensed under CC BY-NC 4.0.\n\nAll rights reserved.", "en"),
+        (1, "intro\nReleased under the MIT License.\nmore", "en"), (2, mit, "en"), (3, "RELEASED under  the; MIT licence", "en"), (4, "Licensed under CC BY-NC 4.0.\n\nAll rights reserved.", "en"),
         (5, licenses.TEMPLATES["ISC"].replace("fee", "fees"), "en"), (6, None, "en"), (7, "mit license", "en"), (8, "This work is licensed under the GNU General Public License, version 2.", "en"), (9, "", "en"),
+        (10, comment, "en"), (11, f"{prose(61, 500)}\n\n{mit[:half]}\n\n{mit[half:]}\n\n{prose(62, 500)}", "en"), (12, f"{prose(63, 20)}, which is Released\nunder the MIT License. {prose(64, 20)}", "en"),
+        (13, prose(65, 30) + " " + licenses.TEMPLATES["BSD-3-Clause"].replace("THE COPYRIGHT HOLDERS", "THE REGENTS") + " " + prose(66, 30), "en"),
+        (14, prose(67, 10) + " GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + prose(68, 100), "en"), (15, " ".join(mit.split()[: len(mit.split()) // 2]), "en"), (16, "\u0130 released UNDER the M\u0130T license", "en"),
+        (17, " ".join(w for i, w in enumerate(mit.split()) if i % 25) + " end", "en"), (17, licenses.TEMPLATES["LGPL-2.1 header"], "en"),
     ]
-    df = table(spark, rows)
-    got = {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in licenses.scan(df).collect()}
+    df = table(spark, rows).unionByName(hard)
+    got = collections.Counter(tuple(r) for r in licenses.scan(df).select("doc_id", "license", "dice", "n_matches", "licenses").collect())
     documents = df.select("doc_id", "text").toPandas()  # noqa: F841  read by name below
-    want = {r[0]: r[1:] for r in duckdb.sql(licenses.oracle()).fetchall()}
-    assert got == want and got[1][0] == "MIT line" and got[2][:2] == ("MIT", 1.0) and got[5][0] == "ISC" and got[8][0] == "GPL-2.0 line" and got[6] == (None, None, 0)
-    assert licenses.scan(hard).count() == hard.count() and licenses.scan(empty).count() == 0
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = collections.Counter(duckdb.sql(licenses.oracle()).fetchall())
+    assert got == want, (got - want, want - got)
+    by_id = {r[0]: r[1:] for r in got}
+    assert by_id[1][0] == by_id[12][0] == "MIT line" and by_id[2][:2] == ("MIT", 1.0) and by_id[5][0] == "ISC" and by_id[8][0] == "GPL-2.0 line" and by_id[6] == (None, None, 0, "")
+    assert by_id[10][:2] == ("Apache-2.0 header", 1.0) and by_id[11][:2] == ("MIT", 1.0) and by_id[13][0] == "BSD-3-Clause" and by_id[14][0] == "GPL-3.0 title"
+    assert by_id[4][3] == "CC-BY-NC-4.0 line,Reserved line" and by_id[15][0] is None and by_id[7][0] is None
+    assert licenses.scan(empty).count() == 0
 
 
 # ---- chat ----
