@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,24 @@ class Bloom:
         self.hashes = max(1, math.ceil(math.log(2) * self.bits / items))
         self.field = np.zeros((self.bits + 7) // 8, np.uint8)
 
-    def _at(self, item: str) -> np.ndarray:
-        a, b = xxhash.xxh3_64_intdigest(item), xxhash.xxh3_64_intdigest(item, 1) | 1
-        return np.array([(a + i * b) % self.bits for i in range(self.hashes)])
+    def _at(self, items: list[str]) -> np.ndarray:
+        """The bits of each item, as one row."""
+        a = np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
+        b = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) | 1 for x in items), np.uint64, len(items))
+        return ((a[:, None] + np.arange(self.hashes, dtype=np.uint64) * b[:, None]) % np.uint64(self.bits)).astype(np.int64)
 
     def add(self, item: str) -> None:
-        at = self._at(item)
-        self.field[at >> 3] |= (1 << (at & 7)).astype(np.uint8)
+        self.add_all([item])
 
     def add_all(self, items: Iterable[str]) -> None:
-        for x in items:
-            self.add(x)
+        """Batches of items are hashed and set at once."""
+        rest = iter(items)
+        while batch := list(islice(rest, 10_000)):
+            at = self._at(batch).ravel()
+            np.bitwise_or.at(self.field, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def might_contain(self, item: str) -> bool:
-        at = self._at(item)
+        at = self._at([item])[0]
         return bool((self.field[at >> 3] >> (at & 7) & 1).all())
 
     def count(self) -> int:

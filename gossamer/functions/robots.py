@@ -57,14 +57,16 @@ def parse_robots(agent: str):
         rows = []
         for body in bodies:
             rules, delay = group_for(body, agent)
-            rows.append({"rules": [{"allow": a, "pattern": to_regex(p), "size": n} for a, p, n in rules], "crawl_delay": delay})
+            rows.append({"rules": [{"allow": a, "pattern": to_pattern(p), "size": n} for a, p, n in rules], "crawl_delay": delay})
         return pd.DataFrame(rows, columns=["rules", "crawl_delay"])
 
     return run
 
 
-def to_regex(pattern: str) -> str:
-    """``*`` is any run, a final ``$`` the end; all else is literal and matches as a prefix."""
+def to_pattern(pattern: str) -> str:
+    """A literal prefix as it is; with ``*`` (any run) or a final ``$`` (the end) a regular expression, which starts with ``^``."""
+    if "*" not in pattern and not pattern.endswith("$") and not pattern.startswith("^"):
+        return pattern
     end = pattern.endswith("$")
     body = ".*".join(re.sub(r"([^A-Za-z0-9/_])", r"\\\1", part) for part in pattern.removesuffix("$").split("*"))
     return f"^{body}" + ("$" if end else "")
@@ -78,6 +80,6 @@ def path_and_query(url: Column | str) -> Column:
 def is_allowed(rules: Column | str, url: Column | str) -> Column:
     """Whether the longest matching rule, if any, allows the URL; no rules allow everything."""
     path = path_and_query(url)
-    matching = F.filter(F.coalesce(col(rules), F.array().cast("array<struct<allow:boolean,pattern:string,size:int>>")), lambda r: F.regexp_like(path, r["pattern"]))
+    matching = F.filter(F.coalesce(col(rules), F.array().cast("array<struct<allow:boolean,pattern:string,size:int>>")), lambda r: F.when(r["pattern"].startswith("^"), F.regexp_like(path, r["pattern"])).otherwise(F.startswith(path, r["pattern"])))
     ranked = F.array_max(F.transform(matching, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"))))
     return F.coalesce(ranked["allow"], F.lit(True))

@@ -29,7 +29,8 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, r"(?s)" + _SPLIT, group)
 
 
-def _trimmed(raw: Column) -> Column:
+def trimmed(raw: Column) -> Column:
+    """Without white space at both ends."""
     return F.regexp_replace(raw, r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+$", "")
 
 
@@ -73,8 +74,8 @@ def _without_default_port(scheme: Column, host: Column) -> Column:
 
 def _analysed(raw: Column) -> Column:
     """struct<scheme, host, path, query, error> of a raw URL; ``query`` holds its question mark."""
-    trimmed = _trimmed(raw)
-    whole = F.when(trimmed.startswith("//"), F.concat(F.lit("https:"), trimmed)).otherwise(trimmed)
+    bare = trimmed(raw)
+    whole = F.when(bare.startswith("//"), F.concat(F.lit("https:"), bare)).otherwise(bare)
 
     def parts(u: Column) -> Column:
         bad = u.rlike(r"[\x00-\x1F\x7F]") | _part(u, _PATH).rlike("%(?![0-9A-Fa-f]{2})")

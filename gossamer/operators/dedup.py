@@ -38,17 +38,24 @@ def blocks_for(rows: int, distance: int, width: int = 64) -> int:
     return blocks
 
 
-def near_pairs(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq", blocks: int | None = None) -> DataFrame:
+def near_pairs(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq", blocks: int | None = None, history: DataFrame | None = None) -> DataFrame:
     """(h1, h2, distance) for all pairs of fingerprints that differ in 1 to ``distance`` bits; exact by pigeonhole.
 
-    Pairs are sought between distinct fingerprints, so that copies do not multiply within a bucket.
+    Pairs are sought between distinct fingerprints, so that copies do not multiply within a bucket. With a
+    ``history`` of earlier fingerprints, only pairs with one of ``rows`` are sought: h1 is of ``rows``, h2 of either.
     """
-    blocks = blocks or blocks_for(rows.count(), distance)  # counting needs no fingerprint
+    blocks = blocks or blocks_for(rows.count() + (0 if history is None else history.count()), distance)  # counting needs no fingerprint
     distinct = rows.select(F.col(key).alias("h")).distinct()
     keys = F.array(*(F.struct(F.lit(i).alias("table"), F.col("h").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(_masks(distance, blocks))))
     keyed = distinct.select("h", F.explode(keys).alias("x")).select("h", "x.table", "x.bits")
-    left, right = keyed.alias("l"), keyed.alias("r")
-    near = left.join(right, (F.col("l.table") == F.col("r.table")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.h") < F.col("r.h")))
+    pair = F.col("l.h") < F.col("r.h")
+    other = keyed
+    if history is not None:
+        old = history.select(F.col(key).alias("h")).distinct().join(distinct, "h", "left_anti").withColumn("old", F.lit(True))
+        other = old.unionByName(distinct.withColumn("old", F.lit(False))).select("h", "old", F.explode(keys).alias("x")).select("h", "old", "x.table", "x.bits")
+        pair = F.col("r.old") | pair
+    left, right = keyed.alias("l"), other.alias("r")
+    near = left.join(right, (F.col("l.table") == F.col("r.table")) & (F.col("l.bits") == F.col("r.bits")) & pair)
     return near.where(T.hamming_distance("l.h", "r.h") <= distance).select(F.col("l.h").alias("h1"), F.col("r.h").alias("h2")).distinct().withColumn("distance", T.hamming_distance("h1", "h2").cast("int"))
 
 
@@ -61,17 +68,24 @@ def near_row_pairs(rows: DataFrame, distance: int = 3, key: str = "simhash", seq
     return near.select(F.least("s1", "s2").alias("a"), F.greatest("s1", "s2").alias("b"), "distance").unionByName(copies.select(F.col("s1").alias("a"), F.col("s2").alias("b"), "distance"))
 
 
-def greedy_keep(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq", max_rounds: int | None = None) -> DataFrame:
+def greedy_keep(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: str = "seq", max_rounds: int | None = None, history: DataFrame | None = None) -> DataFrame:
     """Rows kept when each is dropped if it is near a kept earlier one: first seen wins, not transitive.
 
     Only the first row of a fingerprint can be kept. Among these, rounds decide all
     whose earlier neighbours are decided: dropped if one is kept, kept if none is.
     The state is checkpointed each round; nothing is collected. Rounds go on until all
     rows are decided; beyond ``max_rounds``, or where a round decides none, this is an error.
+    Rows of a ``history`` were kept before: what is near or equal to one is dropped, and they are not compared among each other.
     """
     distance = distance if distance > 0 else 3
-    firsts = rows.groupBy(F.col(key).alias("h")).agg(F.min(seq).alias("s"))
-    links = near_pairs(rows, distance, key, seq)
+    known = cut_lineage(rows.select(seq, key))  # fingerprints are made once
+    firsts = known.groupBy(F.col(key).alias("h")).agg(F.min(seq).alias("s"))
+    if history is not None:
+        old = history.select(F.col(key).alias("h"))
+        near_old = near_pairs(known, distance, key, seq, history=old.withColumnRenamed("h", key)).join(old.withColumnRenamed("h", "h2"), "h2", "left_semi").select(F.col("h1").alias("h"))
+        firsts = firsts.join(near_old.unionByName(old), "h", "left_anti")
+    firsts = cut_lineage(firsts)
+    links = near_pairs(firsts.select(F.col("h").alias(key)), distance, key, seq)
     ordered = links.join(firsts.select(F.col("h").alias("h1"), F.col("s").alias("s1")), "h1").join(firsts.select(F.col("h").alias("h2"), F.col("s").alias("s2")), "h2")
     edges = cut_lineage(ordered.select(F.least("s1", "s2").alias("early"), F.greatest("s1", "s2").alias("late")))
     state = cut_lineage(firsts.join(edges.select(F.col("late").alias("s")).distinct(), "s", "left_semi").select("s", F.lit(None).cast("boolean").alias("kept")))
@@ -85,18 +99,22 @@ def greedy_keep(rows: DataFrame, distance: int = 3, key: str = "simhash", seq: s
             raise RuntimeError(f"{left} rows are undecided after {done} rounds")
         before = left
         told = edges.join(open_rows.select(F.col("s").alias("late")), "late").join(state.select(F.col("s").alias("early"), F.col("kept").alias("k")), "early", "left")
-        known = told.join(state.select(F.col("s").alias("early"), F.lit(True).alias("listed")), "early", "left")
-        judged = known.select("late", F.when(F.col("listed").isNull(), True).otherwise(F.col("k")).alias("k")).groupBy("late").agg(F.bool_or("k").alias("hit"), F.count_if(F.col("k").isNull()).alias("open"))
+        listed = told.join(state.select(F.col("s").alias("early"), F.lit(True).alias("listed")), "early", "left")
+        judged = listed.select("late", F.when(F.col("listed").isNull(), True).otherwise(F.col("k")).alias("k")).groupBy("late").agg(F.bool_or("k").alias("hit"), F.count_if(F.col("k").isNull()).alias("open"))
         step = judged.select(F.col("late").alias("s"), F.when(F.coalesce("hit", F.lit(False)), False).when(F.col("open") == 0, True).alias("now"))
         state = cut_lineage(state.join(step, "s", "left").select("s", F.coalesce("kept", "now").alias("kept")))
     dropped = state.where(~F.col("kept")).select(F.col("s").alias(seq))
     return rows.join(firsts.select(F.col("s").alias(seq)), seq, "left_semi").join(dropped, seq, "left_anti")
 
 
-def check_and_store(pages: DataFrame, distance: int = 3) -> DataFrame:
-    """Pages with ``duplicate``: ``exact`` (same digest as an earlier page), ``near`` or none; kept pages are those without."""
-    firsts = first_of_batch(pages, "content_hash").select("seq", F.lit(True).alias("__first"))
-    kept = greedy_keep(first_of_batch(pages, "content_hash"), distance).select("seq", F.lit(True).alias("__kept"))
+def check_and_store(pages: DataFrame, distance: int = 3, history: DataFrame | None = None) -> DataFrame:
+    """Pages with ``duplicate``: ``exact`` (same digest as an earlier page), ``near`` or none; kept pages are those without.
+
+    ``history`` holds the digests and fingerprints kept before; they are compared with the new pages only.
+    """
+    first_rows = exact_first(pages, history=history)
+    firsts = first_rows.select("seq", F.lit(True).alias("__first"))
+    kept = greedy_keep(first_rows, distance, history=history).select("seq", F.lit(True).alias("__kept"))
     out = pages.join(firsts, "seq", "left").join(kept, "seq", "left")
     return out.withColumn("duplicate", F.when(F.col("__first").isNull(), "exact").when(F.col("__kept").isNull(), "near").otherwise("none")).drop("__first", "__kept")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from fnmatch import fnmatchcase
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.config import EngineConfig
 from gossamer.functions import url as U
+from gossamer.operators import running
+
 
+SHOWN_HOSTS = 20
 
 
 def first_of_batch(urls: DataFrame, key: str = "url_hash", seq: str = "seq") -> DataFrame:
@@ -35,8 +40,10 @@ def host_scores(queue: DataFrame) -> DataFrame:
 
 
 def host_queue(queue: DataFrame) -> DataFrame:
-    """First in, first out within a host."""
-    return queue.withColumn("position", F.row_number().over(Window.partitionBy("host").orderBy("seq")))
+    """First in, first out within a host; a hot host's queue is numbered in pieces."""
+    pieces = running.Pieces.of(queue, "host", ["seq"])
+    before = pieces.carried(pieces.summary(F.max("__k").alias("n")), lambda w: F.sum("n").over(w).alias("before"))
+    return pieces.joined(before).withColumn("position", F.col("__k") + F.coalesce("before", F.lit(0))).select(*queue.columns, "position")
 
 
 def oldest_of_hosts(queue: DataFrame) -> DataFrame:
@@ -81,13 +88,34 @@ def expand_links(pages: DataFrame, max_depth: int) -> DataFrame:
 
 
 def frontier_stats(queue: DataFrame, log: DataFrame) -> DataFrame:
-    """One row: pending, completed, failed and the number of pending URLs per host."""
+    """One row: pending URLs, their hosts, completed and failed; ``host_scores`` has the pending URLs of each host.
+
+    ``shown`` maps hosts to pending URLs where a page can list them all, which is up to ``SHOWN_HOSTS`` of them.
+    """
     hosts = queue.groupBy("host").count()
     pending = hosts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_pending"), F.count("*").alias("hosts"))
+    listed = hosts.orderBy("host").limit(SHOWN_HOSTS + 1).agg(F.collect_list(F.struct("host", "count")).alias("x"))
+    none = F.array().cast("array<struct<host:string,count:bigint>>")
+    pending = pending.crossJoin(listed.select(F.map_from_entries(F.when(F.size("x") <= SHOWN_HOSTS, F.col("x")).otherwise(none)).alias("shown")))  # one row each
     outcome = log.agg(F.count_if(F.col("outcome") == "completed").alias("completed"), F.count_if(F.col("outcome") == "failed").alias("failed"))
     return pending.crossJoin(outcome)  # one row each
 
 
-def clear(names: list[str]) -> list[str]:
-    """Which of the stored tables a clearing of the queue empties: the frontier's and the seen set, nothing else."""
-    return [n for n in names if n.startswith(("frontier", "seen"))]
+def host_view(queue: DataFrame, politeness: DataFrame, host: str) -> DataFrame:
+    """One row for one host: its pending URLs and its politeness, if any is known."""
+    pending = queue.where(F.col("host") == host).agg(F.lit(host).alias("host"), F.count("*").alias("pending"))
+    state = politeness.where(F.col("host") == host).limit(1).select("host", "last_fetch_ms", "delay_ms")
+    return pending.join(state, "host", "left")
+
+
+def stored_tables(spark: SparkSession, pattern: str = "*") -> list[str]:
+    """Names of the catalog's tables that match a shell pattern, sorted."""
+    return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary and fnmatchcase(t.name, pattern))
+
+
+def clear_queue(spark: SparkSession) -> int:
+    """Empty the frontier's tables and the seen set, and nothing else; the number of frontier tables."""
+    frontier = stored_tables(spark, "frontier*")
+    for name in [*frontier, *stored_tables(spark, "seen*")]:
+        spark.sql(f"TRUNCATE TABLE `{name}`")
+    return len(frontier)

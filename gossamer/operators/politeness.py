@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from gossamer.config import EngineConfig
 from gossamer.functions import robots as R
+from gossamer.operators import running
 
 
 def schedule(arrivals: DataFrame, delay_ms: int, host: str = "host", at: str = "arrival_ms", seq: str = "seq") -> DataFrame:
     """Earliest dispatch of each URL when its host is fetched at most once per ``delay_ms``.
 
     t(k) = max(a(k), t(k-1) + d) is k d + max over j <= k of (a(j) - j d): a running maximum, not a loop.
+    A hot host is worked on in pieces: each needs the count and the maximum of those before it.
     """
-    w = Window.partitionBy(host).orderBy(at, seq)
-    k = (F.row_number().over(w) - 1).cast("long")
-    numbered = arrivals.withColumn("k", k)
-    running = F.max(F.col(at) - F.col("k") * delay_ms).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return numbered.withColumn("dispatch_ms", F.col("k") * delay_ms + running)
+    pieces = running.Pieces.of(arrivals, host, [at, seq])
+    local = pieces.rows.withColumn("__j", (F.col("__k") - 1).cast("long"))
+    early = F.col(at) - F.col("__j") * delay_ms
+    ends = local.groupBy("__p", host).agg(F.count(F.lit(1)).alias("__n"), F.max(early).alias("__m"))
+    counted = pieces.joined(pieces.carried(ends, lambda w: F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__base")), ends)
+    before = pieces.carried(counted.withColumn("__c", F.col("__m") - F.col("__base") * delay_ms), lambda w: F.max("__c").over(w).alias("__carry"))
+    both = pieces.joined(pieces.joined(counted.select("__p", host, "__base"), before), local.withColumn("__own", F.max(early).over(pieces.within)))
+    k = F.col("__base") + F.col("__j")
+    latest = F.greatest(F.col("__own") - F.col("__base") * delay_ms, F.col("__carry"))  # greatest skips a null carry
+    return both.select(*arrivals.columns, k.alias("k"), (k * delay_ms + latest).alias("dispatch_ms"))
 
 
 def backoff_delay(errors_in_row: Column, config: EngineConfig = EngineConfig()) -> Column:
@@ -32,11 +39,20 @@ def is_overload(status: Column) -> Column:
 
 
 def backoff_states(log: DataFrame, config: EngineConfig = EngineConfig(), host: str = "host", seq: str = "seq") -> DataFrame:
-    """The host's delay after each fetch: it grows with overload answers since the last other answer, which resets it."""
-    w = Window.partitionBy(host).orderBy(seq)
-    run = log.withColumn("__bad", is_overload(F.col("status_code")).cast("int")).withColumn("__block", F.sum(1 - F.col("__bad")).over(w))
-    streak = F.sum("__bad").over(Window.partitionBy(host, "__block").orderBy(seq))
-    return run.withColumn("delay_ms", backoff_delay(streak, config)).drop("__bad", "__block")
+    """The host's delay after each fetch: it grows with overload answers since the last other answer, which resets it.
+
+    A hot host is worked on in pieces: what goes on into a piece is the run of overload answers at the end of those before it.
+    """
+    pieces = running.Pieces.of(log, host, [seq])
+    bad = is_overload(F.col("status_code"))
+    local = pieces.rows.withColumn("__bad", F.coalesce(bad, F.lit(False))).withColumn("__reset", F.max(F.when(~F.col("__bad"), F.col("__k"))).over(pieces.within))
+    ends = local.groupBy("__p", host).agg(F.max("__k").alias("__n"), F.max("__reset").alias("__reset"))
+    tails = ends.select("__p", host, (F.col("__n") - F.coalesce("__reset", F.lit(0))).alias("__tail"), F.col("__reset").isNotNull().cast("int").alias("__resets"))
+    by_piece = Window.partitionBy(host).orderBy("__p")
+    since = tails.withColumn("__since", F.sum("__resets").over(by_piece)).withColumn("__run", F.sum("__tail").over(Window.partitionBy(host, "__since").orderBy("__p")))
+    before = since.select("__p", host, F.coalesce(F.lag("__run").over(by_piece), F.lit(0)).alias("__carry"))
+    streak = F.col("__k") - F.coalesce("__reset", F.lit(0)) + F.when(F.col("__reset").isNull(), F.col("__carry")).otherwise(0)
+    return pieces.joined(before, local).withColumn("delay_ms", backoff_delay(streak, config)).select(*log.columns, "delay_ms")
 
 
 def robots_table(bodies: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -54,6 +70,13 @@ def invalidate_robots(table: DataFrame, hosts: list[str]) -> DataFrame:
     return table.where(~F.col("host").isin(hosts))
 
 
+def prefetch_robots(table: DataFrame, hosts: DataFrame, bodies: DataFrame, now_ms: int, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """The table with fresh rows for those of ``hosts`` that have no valid one; ``bodies`` are their fetched files."""
+    valid = valid_robots(table, now_ms)
+    wanted = hosts.select("host").distinct().join(valid.select("host"), "host", "left_anti")
+    return valid.unionByName(robots_table(bodies.join(wanted, "host", "left_semi"), config))
+
+
 def with_robots(urls: DataFrame, table: DataFrame) -> DataFrame:
     """URLs with ``allowed`` and ``crawl_delay_ms``; a host without robots rules allows everything.
 

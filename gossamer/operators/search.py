@@ -7,9 +7,11 @@ then url; the total is exact.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -55,19 +57,17 @@ def matching_counts(pages: DataFrame, terms: list[str], fields: dict[str, float]
     return pages.select(F.col(key), F.explode(F.concat(*found)).alias("h")).select(key, "h.*")
 
 
-def scores(pages: DataFrame, query: str, fields: dict[str, float] = FIELDS, key: str = "url") -> DataFrame:
-    """(key, score) of the pages that hold a term of the query in some field."""
-    spark = pages.sparkSession
-    one = spark.range(1).select(*(analyze(F.lit(query), f not in _UNSTOPPED).alias(f) for f in fields)).first()
-    terms = sorted({t for f in fields for t in one[f]})
-    if not terms:
-        return pages.select(key, F.lit(0.0).alias("score")).limit(0)
-    hits = matching_counts(pages, terms, fields, key)
-    allowed = reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(one[f] or [""]) for f in fields))
-    hits = hits.where(allowed)
+def query_terms(spark: SparkSession, query: str, fields: dict[str, float] = FIELDS) -> dict[str, list[str]]:
+    """The distinct terms of a query for each field, by that field's analyzer."""
+    one = spark.range(1).select(*(F.array_distinct(analyze(F.lit(query), f not in _UNSTOPPED)).alias(f) for f in fields)).first()
+    return {f: list(one[f]) for f in fields}
+
+
+def ranked(hits: DataFrame, stats: DataFrame, terms: dict[str, list[str]], fields: dict[str, float] = FIELDS, key: str = "url") -> DataFrame:
+    """(key, score) from the postings of a query's terms and the statistics of the fields."""
+    hits = hits.where(reduce(lambda a, b: a | b, ((F.col("field") == f) & F.col("term").isin(terms[f] or [""]) for f in fields)))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))  # a few rows: fields x query terms
-    stats = df.join(F.broadcast(field_stats(pages, fields)), "field")
-    weighted = hits.join(F.broadcast(stats), ["field", "term"])
+    weighted = hits.join(F.broadcast(df.join(F.broadcast(stats), "field")), ["field", "term"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     boost = F.element_at(F.create_map(*[F.lit(x) for pair in fields.items() for x in pair]), F.col("field"))
@@ -75,6 +75,50 @@ def scores(pages: DataFrame, query: str, fields: dict[str, float] = FIELDS, key:
     return per_field.groupBy(key).agg(F.max("s").alias("score"))
 
 
+def scores(pages: DataFrame, query: str, fields: dict[str, float] = FIELDS, key: str = "url") -> DataFrame:
+    """(key, score) of the pages that hold a term of the query in some field, by a scan of the pages; ``Index`` needs none."""
+    terms = query_terms(pages.sparkSession, query, fields)
+    every = sorted({t for x in terms.values() for t in x})
+    if not every:
+        return pages.select(key, F.lit(0.0).alias("score")).limit(0)
+    return ranked(matching_counts(pages, every, fields, key), field_stats(pages, fields), terms, fields, key)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index below ``folder``: postings sorted by term, so that a query reads the row groups of its terms only,
+    the statistics of the fields, and the pages by url. Made once by ``build``, it serves any number of queries."""
+
+    spark: SparkSession
+    folder: str
+
+    @classmethod
+    def build(cls, pages: DataFrame, folder: str) -> Index:
+        """Postings are dealt by (term, url), so that a frequent term is spread over several files."""
+        postings(pages).repartitionByRange("term", "url").sortWithinPartitions("term", "url").write.mode("overwrite").parquet(f"{folder}/postings")
+        field_stats(pages).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+        pages.repartitionByRange("url").sortWithinPartitions("url").write.mode("overwrite").parquet(f"{folder}/pages")
+        return cls(pages.sparkSession, folder)
+
+    def scores(self, query: str) -> DataFrame:
+        terms = query_terms(self.spark, query)
+        every = sorted({t for x in terms.values() for t in x})
+        hits = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("term").isin(every or [""]))
+        return ranked(hits, self.spark.read.parquet(f"{self.folder}/stats"), terms)
+
+    def pages(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/pages")
+
+    def search(self, query: str, **how: Any) -> DataFrame:
+        return shown(self.pages(), self.scores(query), query, **how)
+
+    def total_hits(self, query: str, domain: str | None = None) -> DataFrame:
+        found = self.scores(query)
+        if domain is not None:
+            found = found.join(self.pages().where(F.col("domain") == domain).select("url"), "url", "left_semi")
+        return found.agg(F.count("*").alias("total"))
+
+
 def snippet(content: Column, terms: list[str], size: int = FRAGMENT) -> Column:
     """A fragment around the first hit with the query's terms marked; empty without a hit."""
     pattern = r"(?iu)(?<![\p{L}\p{Nd}])(" + "|".join(terms) + r")(?![\p{L}\p{Nd}])"
@@ -83,15 +127,29 @@ def snippet(content: Column, terms: list[str], size: int = FRAGMENT) -> Column:
     return F.when(at > 0, F.regexp_replace(F.substr(content, start, F.lit(size)), pattern, "<em>$1</em>")).otherwise("")
 
 
-def search(pages: DataFrame, query: str, domain: str | None = None, size: int = 10, offset: int = 0, sort_by: str | None = None, descending: bool = True) -> DataFrame:
-    """url, title, snippet, domain, crawled_at, score. The domain filters and does not score; ``size`` 0 returns nothing."""
-    found = scores(pages, query)
-    shown = pages if domain is None else pages.where(F.col("domain") == domain)
-    terms = [r[0] for r in pages.sparkSession.range(1).select(F.explode(analyze(F.lit(query))).alias("t")).distinct().collect()] or ["\\x00"]
-    rows = shown.join(found, "url")
+_HITS = 1_000
+
+
+def shown(pages: DataFrame, found: DataFrame, query: str, domain: str | None = None, size: int = 10, offset: int = 0, sort_by: str | None = None, descending: bool = True) -> DataFrame:
+    """url, title, snippet, domain, crawled_at, score of one page of results. The domain filters and does not score; ``size`` 0 returns nothing.
+
+    Where the score alone decides, the first hits are chosen before the pages are read for them.
+    """
+    if domain is not None:
+        found = found.join(pages.where(F.col("domain") == domain).select("url"), "url", "left_semi")
+    if sort_by is None:
+        found = found.orderBy(F.desc("score"), "url").limit(offset + size)
+        found = F.broadcast(found) if offset + size <= _HITS else found
+    rows = pages.join(found, "url")
     order = [F.desc("score") if sort_by is None else (F.desc(sort_by) if descending else F.asc(sort_by)), F.asc("url")]
     top = rows.orderBy(*order).offset(offset).limit(size)
-    return top.select("url", "title", snippet(F.col("content"), terms).alias("snippet"), "domain", "crawled_at", "score")
+    words = sorted({t for x in query_terms(pages.sparkSession, query).values() for t in x}) or ["\\x00"]
+    return top.select("url", "title", snippet(F.col("content"), words).alias("snippet"), "domain", "crawled_at", "score")
+
+
+def search(pages: DataFrame, query: str, **how: Any) -> DataFrame:
+    """Like ``Index.search``, by a scan of the pages."""
+    return shown(pages, scores(pages, query), query, **how)
 
 
 def total_hits(pages: DataFrame, query: str, domain: str | None = None) -> DataFrame:

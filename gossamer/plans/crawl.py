@@ -47,9 +47,8 @@ def crawl_round(state: CrawlState, pages: DataFrame, robots: DataFrame, config:
     parsed = cut_lineage(P.parsed(found, config))
     good = parsed.where((F.col("error") == "") & F.col("status_code").between(200, 399))
     bad = parsed.where(~((F.col("error") == "") & F.col("status_code").between(200, 399)))
-    history = None if state.stored is None else state.stored.select("seq", "content_hash", "simhash")
-    ranked = good if history is None else history.unionByName(good.select("seq", "content_hash", "simhash"))
-    judged = cut_lineage(dedup.check_and_store(ranked.select("seq", "content_hash", "simhash"), config.simhash_distance)).where(F.col("duplicate") == "none")
+    history = None if state.stored is None else state.stored.select("content_hash", "simhash")
+    judged = cut_lineage(dedup.check_and_store(good.select("seq", "content_hash", "simhash"), config.simhash_distance, history)).where(F.col("duplicate") == "none")
     new = cut_lineage(good.join(judged.select("seq"), "seq", "left_semi"))
     links = frontier.expand_links(new.select("seq", "links", "depth", "priority", "url"), config.max_depth)
     base = state.queue.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
@@ -86,13 +85,18 @@ def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame, config: EngineC
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """Depth of each URL reached over a static link table (src, dst): a recursive query for fixed graphs."""
-    spark = seeds.sparkSession
-    cut_lineage(seeds.select("url").distinct()).createOrReplaceTempView("__gossamer_seeds")
-    cut_lineage(edges.select("src", "dst").distinct()).createOrReplaceTempView("__gossamer_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(url, depth) AS (
-          SELECT url, 0 FROM __gossamer_seeds UNION ALL
-          SELECT e.dst, w.depth + 1 FROM walk w JOIN __gossamer_edges e ON e.src = w.url WHERE w.depth < {int(max_depth)})
-        SELECT url, min(depth) AS depth FROM walk GROUP BY url"""
-    )
+    """(url, depth): the depth at which each URL is first reached over a static link table (src, dst).
+
+    A round per depth expands the URLs found last and leaves out all found before, so that work follows the number of
+    links and not of walks; each round is checkpointed. Rounds end early where nothing new is found.
+    """
+    links = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    last = cut_lineage(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)))
+    found = last
+    for depth in range(1, max_depth + 1):
+        ends = last.join(links, last["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
+        last = cut_lineage(ends.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
+        if last.isEmpty():
+            break
+        found = found.unionByName(last)
+    return found

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +30,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/checkpoints/gossamer") -> str:
-    """The shared checkpoint folder of the cluster; ``fallback`` is used only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names. A local master without one gets a folder of this machine; a cluster must name one."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    spark.sparkContext.setCheckpointDir(configured or fallback)
-    return configured or fallback
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gossamer-checkpoints-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

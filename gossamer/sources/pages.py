@@ -26,7 +26,7 @@ def responses(pages: DataFrame) -> DataFrame:
     have = set(pages.columns)
     default = {
         "final_url": F.col("url"), "status_code": F.lit(200), "content_type": F.lit("text/html"), "fetch_seconds": F.lit(0.0),
-        "crawled_at": F.lit(None).cast("timestamp"), "error": F.lit(""), "depth": F.lit(0), "render_mode": F.when(U.requires_js("url"), "dynamic").otherwise("static"),
+        "crawled_at": F.lit(None).cast("timestamp"), "error": F.lit(""), "rendered_title": F.lit(""), "depth": F.lit(0), "render_mode": F.when(U.requires_js("url"), "dynamic").otherwise("static"),
     }
     return pages.select("*", *(c.alias(n) for n, c in default.items() if n not in have))
 
@@ -39,13 +39,16 @@ def guarded(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame
 
 
 def parsed(rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Crawl results: one parse per page, fingerprints, and empty fields where a guard stopped the page."""
+    """Crawl results: one parse per page, fingerprints, and empty fields where a guard stopped the page.
+
+    The title that a browser reports for a rendered page comes before the parsed one.
+    """
     ok = F.col("error") == ""
     body = F.when(ok, F.col("html")).otherwise("")
     out = guarded(responses(rows), config).withColumn("__p", H.parse_html(body, F.col("final_url")))
     empty = F.array().cast("array<string>")
     return out.select(
-        "*", F.col("__p.title").alias("title"), F.col("__p.content").alias("content"), F.col("__p.metadata").alias("metadata"),
+        "*", F.coalesce(F.nullif(F.trim("rendered_title"), F.lit("")), F.col("__p.title")).alias("title"), F.col("__p.content").alias("content"), F.col("__p.metadata").alias("metadata"),
         F.coalesce(F.col("__p.metadata")["description"], F.lit("")).alias("meta_description"), F.when(ok, F.col("__p.links")).otherwise(empty).alias("links"),
         F.when(ok, T.content_hash("html")).otherwise("").alias("content_hash"),
     ).withColumn("links_count", F.size("links")).withColumn("simhash", F.when(ok, T.simhash("content")).otherwise(F.lit(0).cast("long"))).withColumn("domain", U.extract_host("final_url")).drop("__p")

@@ -15,8 +15,8 @@ def seed_urls(spark: SparkSession, urls: list[str], priority: int = 0, depth: in
 
 
 def seed_file(spark: SparkSession, path: str, priority: int = 0, depth: int = 0) -> DataFrame:
-    """Lines of a text file, trimmed; blank lines and those that start with # are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("raw"), F.monotonically_increasing_id().alias("seq"))
+    """Lines of a text file, without white space around them; blank lines and those that start with # are skipped."""
+    lines = spark.read.text(path).select(U.trimmed(F.col("value")).alias("raw"), F.monotonically_increasing_id().alias("seq"))
     return lines.where((F.col("raw") != "") & ~F.col("raw").startswith("#")).select("seq", "raw", F.lit(priority).alias("priority"), F.lit(depth).alias("depth"), F.lit("").alias("source_url"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
@@ -37,6 +37,11 @@ def seed_status(seeds: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def seed_report(status: DataFrame) -> DataFrame:
-    """One row: submitted, added, skipped (valid but known), invalid, and the invalid raw strings (at most 100, a report)."""
+    """One row: submitted, added, skipped (valid but known) and invalid; ``seed_errors`` has the invalid ones."""
     n = lambda s: F.count_if(F.col("status") == s)
     return status.agg(F.count("*").alias("submitted"), n("added").alias("added"), n("exists").alias("skipped"), n("invalid").alias("invalid"))
+
+
+def seed_errors(status: DataFrame) -> DataFrame:
+    """(seq, message) of every invalid seed: what was submitted, and why it was not taken."""
+    return status.where(F.col("status") == "invalid").select("seq", F.concat(F.col("raw"), F.lit(": "), F.col("error")).alias("message"))

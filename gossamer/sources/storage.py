@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,18 +45,46 @@ def raw_exists(spark: SparkSession, folder: str, content_hash: str) -> bool:
     return exists(spark, folder) and not raw_body(spark, folder, content_hash).isEmpty()
 
 
+def _file_system(spark: SparkSession, folder: str) -> tuple[Any, Any]:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_SET_ASIDE = "_before-"
+
+
+def repair_raw(spark: SparkSession, folder: str) -> None:
+    """Put back what a deletion that never ended had set aside."""
+    hadoop, fs = _file_system(spark, folder)
+    for status in fs.listStatus(hadoop(folder)) if fs.exists(hadoop(folder)) else ():
+        name = status.getPath().getName()
+        if name.startswith(_SET_ASIDE):
+            target = hadoop(f"{folder}/{name.removeprefix(_SET_ASIDE)}")
+            if fs.exists(target):
+                fs.delete(status.getPath(), True)
+            else:
+                fs.rename(status.getPath(), target)
+
+
 def delete_raw(spark: SparkSession, folder: str, hashes: list[str]) -> None:
-    """Rewrite the partitions of these digests without them, and no others."""
-    kept = spark.read.parquet(folder).where(F.col("prefix").isin(sorted({h[:2] for h in hashes})) & ~F.col("content_hash").isin(hashes))
+    """Rewrite the partitions of these digests without them, and no others.
+
+    The old partition is set aside, not deleted, until the new one is in its place: a driver lost
+    between leaves both, and ``repair_raw``, which every deletion begins with, puts the old one back.
+    """
+    repair_raw(spark, folder)
+    prefixes = sorted({h[:2] for h in hashes})
+    kept = spark.read.parquet(folder).where(F.col("prefix").isin(prefixes) & ~F.col("content_hash").isin(hashes))
     moved = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
     kept.write.partitionBy("prefix").option("compression", "gzip").parquet(moved)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for prefix in sorted({h[:2] for h in hashes}):
-        target, source = hadoop(f"{folder}/prefix={prefix}"), hadoop(f"{moved}/prefix={prefix}")
-        fs.delete(target, True)
+    hadoop, fs = _file_system(spark, folder)
+    for prefix in prefixes:
+        target, aside, source = (hadoop(f"{x}prefix={prefix}") for x in (f"{folder}/", f"{folder}/{_SET_ASIDE}", f"{moved}/"))
+        if fs.exists(target):
+            fs.rename(target, aside)
         if fs.exists(source):
             fs.rename(source, target)
+        fs.delete(aside, True)
     fs.delete(hadoop(moved), True)
     spark.catalog.refreshByPath(folder)
 
@@ -83,24 +112,45 @@ def ensure_index(spark: SparkSession, table: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(f'{p.strip()}' for p in INDEX_SCHEMA.replace('array<string>', 'ARRAY<STRING>').split(', '))}) USING parquet")
 
 
-def upsert(folder: str, rows: DataFrame, key: str = "content_hash", seq: str = "seq") -> None:
-    """Merge rows into the table at ``folder``: what is there stays unless a new row has its key.
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Complete versions of a versioned table, oldest first. A version counts once its writer has put the success mark there."""
+    hadoop, fs = _file_system(spark, folder)
+    found = fs.listStatus(hadoop(folder)) if fs.exists(hadoop(folder)) else ()
+    names = [s.getPath().getName() for s in found if fs.exists(hadoop(f"{folder}/{s.getPath().getName()}/_SUCCESS"))]
+    return sorted(int(n.removeprefix(_VERSION)) for n in names if n.startswith(_VERSION))
+
 
-    The merged table is written beside the old one and then takes its place.
+_VERSION = "version-"
+
+
+def read_table(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The last complete version of a versioned table; None where there is none."""
+    known = versions(spark, folder)
+    return spark.read.parquet(f"{folder}/{_VERSION}{known[-1]}") if known else None
+
+
+def write_table(rows: DataFrame, folder: str) -> None:
+    """The next version. Readers see the old one until the new one is complete; the one before that is then deleted.
+
+    A driver lost at any point leaves the old version. Two writers at once cannot both write the same version: one fails.
     """
     spark = rows.sparkSession
+    known = versions(spark, folder)
+    hadoop, fs = _file_system(spark, folder)
+    number = (known[-1] if known else 0) + 1
+    target = f"{folder}/{_VERSION}{number}"
+    if fs.exists(hadoop(target)) and not fs.exists(hadoop(f"{target}/_SUCCESS")):
+        fs.delete(hadoop(target), True)  # left by a writer that was lost
+    rows.write.parquet(target)
+    for old in known[:-1]:
+        fs.delete(hadoop(f"{folder}/{_VERSION}{old}"), True)
+
+
+def upsert(folder: str, rows: DataFrame, key: str = "content_hash", seq: str = "seq") -> None:
+    """Merge rows into the versioned table at ``folder``: what is there stays unless a new row has its key."""
     new = last_write(rows, key, seq)
-    merged = new
-    if exists(spark, folder):
-        old = spark.read.parquet(folder)
-        merged = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-    fresh = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
-    merged.write.parquet(fresh)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(folder), True)
-    fs.rename(hadoop(fresh), hadoop(folder))
-    spark.catalog.refreshByPath(folder)
+    old = read_table(rows.sparkSession, folder)
+    write_table(new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True), folder)
 
 
 def as_json(rows: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from gossamer.config import EngineConfig
 from gossamer.functions import text as T
@@ -41,6 +43,7 @@ class HostDispatcher(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         next_ms, delay = self.state.get() if self.state.exists() else (None, self.default_ms)
         out = []
+        # one host's rows of one trigger, which the source's limits per trigger bound
         for row in pd.concat([*rows]).sort_values(["arrival_ms", "seq"]).itertuples():
             at = row.arrival_ms if next_ms is None else max(row.arrival_ms, next_ms)
             overload = row.status_code == 429 or row.status_code >= 500
@@ -90,10 +93,8 @@ def near_dedup_sink(folder: str, distance: int = 3) -> Callable[[DataFrame, int]
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("seq", "content_hash", T.simhash("content").alias("simhash"))
-        old = spark.read.parquet(folder) if storage.exists(spark, folder) else None
-        both = rows if old is None else old.select("seq", "content_hash", "simhash").unionByName(rows)
-        kept = dedup.greedy_keep(dedup.exact_first(both), distance)
-        storage.upsert(folder, kept if old is None else kept.join(old.select("seq"), "seq", "left_anti"), "content_hash")
+        old = storage.read_table(spark, folder)
+        storage.upsert(folder, dedup.greedy_keep(dedup.exact_first(rows, history=old), distance, history=old), "content_hash")
 
     return write
 
@@ -103,7 +104,34 @@ def robots_stream(bodies: DataFrame, config: EngineConfig = EngineConfig()) -> D
     return robots_table(bodies, config)
 
 
-def sink(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataStreamWriter:
-    """A memory sink for tests and status pages; other sinks take the same stream."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    return writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+def sink(stream: DataFrame, folder: str, mode: str = "append") -> DataStreamWriter:
+    """Into Parquet below ``folder``, which all executors share, with the checkpoint beside it.
+
+    Each batch writes its own part anew, so that a repeated batch changes nothing; in mode
+    complete each part is the whole result. ``result`` reads it.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+
+
+def result(spark: SparkSession, folder: str, schema: StructType, mode: str = "append") -> DataFrame:
+    """What a ``sink`` wrote so far: all parts, or in mode complete the last one."""
+    if not storage.exists(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("epoch") == rows.agg(F.max("epoch")).first()[0])
+    return rows.drop("epoch")
+
+
+def stop_between_batches(query: StreamingQuery, wait_seconds: float = 60.0) -> bool:
+    """End a stream without cutting a batch off; whether it was idle. After ``wait_seconds`` the batch under way is given up, and repeated at the next start."""
+    end = time.monotonic() + wait_seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(0.05)
+    idle = not query.isActive or not query.status["isTriggerActive"]
+    query.stop()
+    return idle

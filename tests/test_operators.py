@@ -29,7 +29,8 @@ def test_seed_reports(spark, tmp_path):
     status = S.seed_status(seeds_of(spark, ["https://known.com", "https://n.com/a", "https://n.com/a#x", "ftp://x"]), seen)
     assert {r["seq"]: r["status"] for r in status.collect()} == {0: "exists", 1: "added", 2: "exists", 3: "invalid"}
     assert S.seed_report(status).first().asDict() == {"submitted": 4, "added": 1, "skipped": 2, "invalid": 1}
-    (tmp_path / "s.txt").write_text(" https://a.com \n\n# no\nhttps://b.com\n")
+    assert [r["message"] for r in S.seed_errors(status).collect()] == ["ftp://x: unsupported scheme"]
+    (tmp_path / "s.txt").write_text(" https://a.com \n\n\t# no\n\u2003https://b.com\t\n")
     assert [r["raw"] for r in S.seed_file(spark, str(tmp_path / "s.txt")).orderBy("seq").collect()] == ["https://a.com", "https://b.com"]
 
 
@@ -54,9 +55,11 @@ def test_next_batch(spark):
     assert [r["position"] for r in frontier.host_queue(q).orderBy("seq").collect()] == [1, 1, 2, 1, 2]
 
 
-def test_schedule_matches_simulation(spark):
+@pytest.mark.parametrize("hosts", ["xyz", "x" * 9 + "y"])
+def test_schedule_matches_simulation(spark, hosts):
+    """Also where one host has nine rows of ten, and so several pieces."""
     rnd = random.Random(3)
-    rows = [(i, rnd.choice("xyz"), rnd.randint(0, 3000)) for i in range(200)]
+    rows = [(i, rnd.choice(hosts), rnd.randint(0, 3000)) for i in range(400)]
     got = {r["seq"]: r["dispatch_ms"] for r in politeness.schedule(spark.createDataFrame(rows, "seq long, host string, arrival_ms long"), 100).collect()}
     last = {}
     for seq, host, at in sorted(rows, key=lambda r: (r[2], r[0])):
@@ -70,6 +73,21 @@ def test_backoff(spark):
     assert got == [1000, 2000, 4000, 8000, 1000, 2000, 4000, 8000, 16000, 32000, 60000, 60000, 60000, 60000]
 
 
+def test_backoff_and_queue_of_a_hot_host(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["hot"] * 9 + ["b", None]), rnd.choice([200, 200, 500, 503, 429, None])) for i in range(600)]
+    log = spark.createDataFrame(rows, "seq long, host string, status_code int").repartition(5)
+    got = {r["seq"]: r["delay_ms"] for r in politeness.backoff_states(log).collect()}
+    positions = {r["seq"]: r["position"] for r in frontier.host_queue(log).collect()}
+    streak, count = {}, {}
+    for seq, host, status in rows:
+        bad = status is not None and (status == 429 or status >= 500)
+        streak[host] = streak.get(host, 0) + 1 if bad else 0
+        count[host] = count.get(host, 0) + 1
+        assert (got[seq], positions[seq]) == (min(60_000, 1000 * 2 ** streak[host]), count[host])
+    assert len(got) == len(positions) == 600
+
+
 def test_robots(spark):
     bodies = spark.createDataFrame([("a.com", 200, "User-agent: *\nDisallow: /x\nCrawl-delay: 3", 0), ("b.com", 404, "User-agent: *\nDisallow: /", 0)], "host string, status int, body string, fetched_ms long")
     table = politeness.robots_table(bodies)
@@ -77,7 +95,15 @@ def test_robots(spark):
     assert {r["normalized"]: r["allowed"] for r in politeness.with_robots(urls, table).collect()} == {"https://a.com/x/1": False, "https://a.com/y": True, "https://b.com/x": True, "https://c.com/x": True}
     assert politeness.valid_robots(table, 24 * 3600 * 1000).count() == 0 and politeness.valid_robots(table, 5).count() == 2
     assert [r["host"] for r in politeness.invalidate_robots(table, ["a.com"]).collect()] == ["b.com"]
+    hosts = spark.createDataFrame([("a.com",), ("c.com",), ("d.com",)], "host string")
+    later = spark.createDataFrame([("a.com", 200, "", 7), ("c.com", 200, "User-agent: *\nDisallow: /c*d\nDisallow: /end$", 7)], "host string, status int, body string, fetched_ms long")
+    fetched = politeness.prefetch_robots(table, hosts, later, 5)
+    assert {r["host"]: r["expires_ms"] for r in fetched.collect()} == {"a.com": 24 * 3600 * 1000, "b.com": 24 * 3600 * 1000, "c.com": 24 * 3600 * 1000 + 7}
+    more = spark.createDataFrame([("c.com", f"https://c.com{p}") for p in ("/cxd", "/c", "/end", "/end2", "/^x")], "host string, normalized string")
+    assert [r["allowed"] for r in politeness.with_robots(more, fetched).orderBy("normalized").collect()] == [True, True, False, False, True]
     polite = spark.createDataFrame([("a.com", 5, None), ("z.com", 5, 7000)], "host string, last_fetch_ms long, delay_ms long")
+    assert frontier.host_view(queue_of(spark, [(1, "a.com", 1), (2, "a.com", 1)]), polite, "a.com").first().asDict() == {"host": "a.com", "pending": 2, "last_fetch_ms": 5, "delay_ms": None}
+    assert frontier.host_view(queue_of(spark, [(1, "b.com", 1)]), polite, "none.com").first().asDict() == {"host": "none.com", "pending": 0, "last_fetch_ms": None, "delay_ms": None}
     assert {r["host"]: r["delay_ms"] for r in politeness.host_delays(polite, table).collect()} == {"a.com": 3000, "b.com": 1000, "z.com": 7000}
 
 
@@ -119,6 +145,10 @@ def test_check_and_store(spark):
     rows = [(1, "h1", 0), (2, "h1", 0), (3, "h2", 1), (4, "h3", 0b1111), (5, "h4", 0b1110000000)]
     got = {r["seq"]: r["duplicate"] for r in dedup.check_and_store(spark.createDataFrame(rows, "seq long, content_hash string, simhash long")).collect()}
     assert got == {1: "none", 2: "exact", 3: "near", 4: "none", 5: "near"}
+    new = [(11, "h1", 0), (12, "n1", 3), (13, "n2", 0xFFFF << 40), (14, "n2", 0xFFFF << 40), (15, "n3", (0xFFFF << 40) + 1), (16, "n4", 0b1110000001)]
+    history = spark.createDataFrame([("h1", 0), ("h3", 0b1111)], "content_hash string, simhash long")
+    got = {r["seq"]: r["duplicate"] for r in dedup.check_and_store(spark.createDataFrame(new, "seq long, content_hash string, simhash long"), history=history).collect()}
+    assert got == {11: "exact", 12: "near", 13: "none", 14: "exact", 15: "near", 16: "none"}
     kept = spark.createDataFrame(rows, "seq long, content_hash string, simhash long")
     assert dedup.signature_stats(kept).first().asDict() == {"exact": 4, "simhashes": 4}
 
@@ -143,6 +173,9 @@ def test_crawl(spark):
     assert depth == {"https://s.com/": 0, "https://s.com/a": 1, "https://s.com/b": 1, "https://s.com/c": 2}
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
     assert {r["url"]: r["depth"] for r in crawl.reachable(spark.createDataFrame([("a",)], "url string"), edges, 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    full = spark.createDataFrame([(str(a), str(b)) for a in range(12) for b in range(12)] + [("11", "x"), ("x", "y"), (None, "z")], "src string, dst string")
+    depths = {r["url"]: r["depth"] for r in crawl.reachable(spark.createDataFrame([("0",), (None,)], "url string"), full, 9).collect()}
+    assert depths == {"0": 0, **{str(n): 1 for n in range(1, 12)}, "x": 2, "y": 3}
 
 
 def parsed_site(spark):
@@ -159,7 +192,7 @@ def test_parsed_and_guards(spark):
     assert ok["title"] == "Alpha" and ok["links"] == ["https://s.com/c", "https://s.com/"] and ok["domain"] == "s.com" and len(ok["content_hash"]) == 64 and ok["links_count"] == 2
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     pages = parsed_site(spark).cache()
     rows = search.search(pages, "Alpha the spiders").collect()
     assert [r["url"] for r in rows] == ["https://s.com/a"] and "<em>spiders</em>" in rows[0]["snippet"]
@@ -169,6 +202,13 @@ def test_search(spark):
     assert search.postings(pages).where("term = 'spiders' and field = 'content'").first()["tf"] == 5
     assert search.get_by_url(pages, "https://s.com/b").first()["title"] == "Beta"
     assert [r["url"] for r in search.search(pages, "page words", sort_by="url", descending=False).collect()][0] == "https://s.com/"
+    index = search.Index.build(pages, str(tmp_path / "index"))
+    for query in ("Alpha the spiders", "page words", "the", "nothing"):
+        assert index.search(query).collect() == search.search(pages, query).collect()
+        assert index.total_hits(query, "s.com").collect() == search.total_hits(pages, query, "s.com").collect()
+    every = [r["url"] for r in index.search("page words text").collect()]
+    assert [r["url"] for r in index.search("page words text", offset=1, size=2).collect()] == every[1:3] and len(every) > 2
+    assert index.search("page", domain="no.com").count() == 0
 
 
 def test_storage(spark, tmp_path):
@@ -184,8 +224,18 @@ def test_storage(spark, tmp_path):
     rows = storage.index_rows(pages)
     storage.upsert(index, rows)
     storage.upsert(index, rows.where("url = 'https://s.com/b'").withColumn("title", F.lit("new")).withColumn("seq", F.lit(99).cast("long")))
-    stored = {r["url"]: r["title"] for r in spark.read.parquet(index).collect()}
+    stored = {r["url"]: r["title"] for r in storage.read_table(spark, index).collect()}
     assert len(stored) == 6 and stored["https://s.com/b"] == "new" and stored["https://s.com/a"] == "Alpha"
+    # a writer that was lost leaves a part without the mark: it does not count, and the next writer replaces it
+    (tmp_path / "index" / "version-3").mkdir()
+    assert storage.versions(spark, index)[-1] == 2 and storage.read_table(spark, index).count() == 6
+    storage.upsert(index, rows.limit(1))
+    assert storage.versions(spark, index) == [2, 3]
+    # a deletion that was lost between its two renames
+    prefix = h[:2] if (tmp_path / "raw" / f"prefix={h[:2]}").exists() else next(p.name for p in (tmp_path / "raw").glob("prefix=*")).removeprefix("prefix=")
+    (tmp_path / "raw" / f"prefix={prefix}").rename(tmp_path / "raw" / f"_before-prefix={prefix}")
+    storage.repair_raw(spark, raw)
+    assert storage.raw_stats(spark, raw).first()["objects"] == 5
     q = spark.createDataFrame([(1, "u", "n", "x", "h", 0, 1, "")], "seq long, raw string, normalized string, url_hash string, host string, depth int, priority int, source_url string")
     assert storage.queue_from_json(storage.queue_to_json(q)).first()["priority"] == 1
 
@@ -212,5 +262,17 @@ def test_metrics(spark):
     assert metrics.worker_stats(log).where("worker_id = 'w2'").first()["errors"] == 1
     q = queue_of(spark, [(1, "a", 5), (2, "b", 1), (3, "a", 0)])
     assert metrics.composite(q, log, log).first().asDict() == {"pending": 3, "hosts": 2, "completed": 1, "failed": 2, "indexed": 4}
-    assert frontier.frontier_stats(q, log).first()["total_pending"] == 3
-    assert frontier.clear(["frontier:x", "seen:urls", "robots:a"]) == ["frontier:x", "seen:urls"]
+    stats = frontier.frontier_stats(q, log).first()
+    assert stats["total_pending"] == 3 and stats["shown"] == {"a": 2, "b": 1}
+    many = queue_of(spark, [(i, f"h{i}", 1) for i in range(21)])
+    assert frontier.frontier_stats(many, log).first()["shown"] == {} and frontier.frontier_stats(many.where("seq > 0"), log).first()["shown"]["h20"] == 1
+
+
+def test_clear_queue(spark):
+    for name in ("frontier_queue", "frontier_taken", "seen_urls", "robots_rules"):
+        spark.range(5).write.mode("overwrite").saveAsTable(name)
+    assert frontier.stored_tables(spark, "frontier*") == ["frontier_queue", "frontier_taken"]
+    assert frontier.clear_queue(spark) == 2
+    assert [spark.table(n).count() for n in ("frontier_queue", "frontier_taken", "seen_urls", "robots_rules")] == [0, 0, 0, 5]
+    for name in ("frontier_queue", "frontier_taken", "seen_urls", "robots_rules"):
+        spark.sql(f"DROP TABLE {name}")

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from gossamer.sources import storage
 from gossamer.streaming import crawl_stream as CS
 
 
@@ -9,29 +10,31 @@ def stream_of(spark, folder, df, parts=2):
 
 
 def run(stream, name, tmp_path, mode="append"):
-    q = CS.sink(stream, name, mode, str(tmp_path / f"cp_{name}")).start()
+    folder = str(tmp_path / name)
+    q = CS.sink(stream, folder, mode).start()
     q.awaitTermination(120)
-    q.stop()
+    assert CS.stop_between_batches(q)
+    return CS.result(stream.sparkSession, folder, stream.schema, mode)
 
 
 def test_seen_once(spark, tmp_path):
     df = spark.createDataFrame([(i, f"https://h.com/{i % 5}?utm_source={i}") for i in range(20)], "seq long, raw string")
-    run(CS.new_urls(stream_of(spark, str(tmp_path / "u"), df)), "seen_once", tmp_path)
-    assert spark.table("seen_once").count() == 5
+    stream = CS.new_urls(stream_of(spark, str(tmp_path / "u"), df))
+    assert run(stream, "seen_once", tmp_path).count() == 5
+    assert run(stream, "seen_once", tmp_path).count() == 5  # a restart adds nothing
 
 
 def test_dispatch(spark, tmp_path):
     rows = [(i, "h", f"u{i}", i * 10, s) for i, s in enumerate([200, 500, 500, 200, 200])]
     df = spark.createDataFrame(rows, "seq long, host string, url string, arrival_ms long, status_code int")
-    run(CS.dispatch(stream_of(spark, str(tmp_path / "d"), df, 1)), "dispatched", tmp_path)
-    got = [r["dispatch_ms"] for r in spark.table("dispatched").orderBy("seq").collect()]
+    rows = run(CS.dispatch(stream_of(spark, str(tmp_path / "d"), df, 1)), "dispatched", tmp_path)
+    got = [r["dispatch_ms"] for r in rows.orderBy("seq").collect()]
     assert got == [0, 1000, 3000, 7000, 8000]
 
 
 def test_stats(spark, tmp_path):
     df = spark.range(60).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ts"), F.when(F.col("id") % 10 == 0, "failed").otherwise("completed").alias("outcome"), F.lit("h").alias("host"), F.lit("w").alias("worker_id"))
-    run(CS.periodic_stats(stream_of(spark, str(tmp_path / "s"), df, 1)), "stats", tmp_path, "complete")
-    rows = spark.table("stats").orderBy("start").collect()
+    rows = run(CS.periodic_stats(stream_of(spark, str(tmp_path / "s"), df, 1)), "stats", tmp_path, "complete").orderBy("start").collect()
     assert [r["events"] for r in rows] == [10] * 6 and all(r["failed"] == 1 for r in rows)
 
 
@@ -41,8 +44,8 @@ def test_sinks(spark, tmp_path):
     stream = stream_of(spark, str(tmp_path / "n"), df, 1)
     q = stream.writeStream.foreachBatch(CS.near_dedup_sink(folder)).option("checkpointLocation", str(tmp_path / "cp_n")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted(r["seq"] for r in spark.read.parquet(folder).collect()) == [1, 3]
+    assert sorted(r["seq"] for r in storage.read_table(spark, folder).collect()) == [1, 3]
     write = CS.upsert_sink(str(tmp_path / "up"))
     write(df, 0)
     write(df, 0)
-    assert spark.read.parquet(str(tmp_path / "up")).count() == 3
+    assert storage.read_table(spark, str(tmp_path / "up")).count() == 3
