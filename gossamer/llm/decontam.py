@@ -96,7 +96,7 @@ def merged(codes: np.ndarray, surface: np.ndarray, slot: np.ndarray) -> tuple[np
 class Rules:
     """Windows of ``window`` tokens with ``literal`` or more words that are no placeholders; ``coverage`` of an item's
     windows must occur, and ``consistent`` of the placeholders' values must agree with the usual replacement, both ways.
-    A window is common if more than ``common`` items have it; ``bits`` sizes the bit table (2**26: 8 MB);
+    A window is common if more than ``common`` items have it; ``bits``, 15 or more, sizes the bit table (2**26: 8 MB);
     up to ``most_keys`` keys of documents (16 bytes each) are broadcast, more are joined."""
 
     window: int = 8

@@ -239,11 +239,11 @@ def oracle(settings: Scan = Scan(), templates: dict[str, str] = TEMPLATES) -> st
     return f"""
 WITH templates AS (SELECT t, license, {words.format('body')} AS w FROM (VALUES {rows}) v(t, license, body)),
 bags AS (SELECT t, len(w) AS size, list_distinct({pairs}) AS bag FROM templates),
-anchors AS (SELECT * FROM (VALUES {places}) v(t, pair, at)),
+anchors AS (SELECT * FROM (VALUES {places}) v(t, pair, place)),
 worded AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
 listed AS (SELECT r, doc_id, {pairs} AS ps FROM worded),
 spread AS (SELECT r, unnest(ps) AS pair, generate_subscripts(ps, 1) - 1 AS i FROM listed),
-starts AS (SELECT DISTINCT r, t, i - at AS p FROM spread JOIN anchors USING (pair)),
+starts AS (SELECT DISTINCT r, t, i - place AS p FROM spread JOIN anchors USING (pair)),
 windows AS (SELECT s.r, s.t, bag, size, list_distinct(ps[greatest(p, 0) + 1 : p + size - 1]) AS own FROM starts s JOIN bags USING (t) JOIN listed l ON l.r = s.r),
 scored AS (SELECT r, t, size, round(2.0 * len(list_intersect(own, bag)) / (len(own) + len(bag)), 6) AS d FROM windows),
 kept AS (SELECT r, t, size, max(d) AS d FROM scored WHERE d >= {settings.dice} GROUP BY r, t, size),

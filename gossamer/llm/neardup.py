@@ -284,7 +284,7 @@ class _Classes(dict):
         return c
 
 
-_BLOCK_BYTES = 1_000_000
+_BLOCK_BYTES = 400_000
 
 
 def _remaining_links(rows: DataFrame, sequences: DataFrame, rules: Rules) -> DataFrame:
@@ -379,7 +379,10 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     of earlier rounds are released as soon as a round is checkpointed.
     """
     n = labels.count()
-    both = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    # edges come in as many small parts as the tasks that found them
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = cut_lineage(edges.coalesce(parts).select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.u", "e.v"))
     while True:
         near = both.join(labels.select(F.col("t").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         step = cut_lineage(labels.join(near, labels["t"] == near["u"], "left").select("t", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))

@@ -206,7 +206,7 @@ def test_decontamination_against_all_windows(spark):
     docs += [(90, None, None), (91, "", None), (92, "a short one here", "en"), (92, "a short one here", "en")]
     want = collections.Counter((i, k) for i, text, _ in docs for k, item in items if plain_template(item) and plain_found(item, text))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for rules in (decontam.Rules(), decontam.Rules(common=0, bits=12)):
+    for rules in (decontam.Rules(), decontam.Rules(common=0, bits=16)):
         got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontam.contaminated(table(spark, docs).repartition(3), benchmark, rules).collect())
         assert got == want
     assert 20 < len(want) and want[92, 52] == 2
