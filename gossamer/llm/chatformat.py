@@ -6,7 +6,8 @@ carries its position ids (those of its path) and the intervals it may attend to
 (its ancestors' and its own).
 
 Sharing is by pack: a pack ends when it holds ``most_chars`` characters, and a
-tree that is larger repeats its common turns once per pack. Tokens are code points.
+tree that is larger repeats its common turns once per pack; each pack tells how many
+characters it repeats of the one before it in its task. Tokens are code points.
 
 Defined results: null texts and roles are empty; turns with the same number
 are ordered by role, then text; a null conversation id is a conversation like
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 from typing import Any
 
 import pyarrow as pa
@@ -32,7 +34,7 @@ TRAINED_ROLE = "assistant"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 PACK = (
     "text string, nodes array<struct<start:int,end:int,parent:int,position:int,loss_start:int,loss_end:int>>, "
-    "attends array<array<int>>, leaves array<struct<conv_id:bigint,leaf:int,turns:int>>"
+    "attends array<array<int>>, leaves array<struct<conv_id:bigint,leaf:int,turns:int>>, repeated int"
 )
 
 
@@ -70,6 +72,7 @@ class Pack:
         self.attends: list[list[int]] = []
         self.leaves: list[dict[str, Any]] = []
         self.path: list[tuple[tuple[str, str], int]] = []
+        self.repeated = 0
 
     def add(self, conv_id: int | None, turns: list[tuple[str, str]]) -> None:
         shared = 0
@@ -90,11 +93,11 @@ class Pack:
         self.leaves.append({"conv_id": conv_id, "leaf": self.path[-1][1] if self.path else -1, "turns": len(turns)})
 
     def row(self) -> dict[str, list[Any]]:
-        return {"text": ["".join(self.parts)], "nodes": [self.nodes], "attends": [self.attends], "leaves": [self.leaves]}
+        return {"text": ["".join(self.parts)], "nodes": [self.nodes], "attends": [self.attends], "leaves": [self.leaves], "repeated": [self.repeated]}
 
 
 def pack(conversations: DataFrame, most_chars: int = 200_000, most_conversations: int = 512) -> DataFrame:
-    """Packed sequences: text, nodes (extent, parent, position id of the first token, loss span), attention intervals, leaves.
+    """Packed sequences: text, nodes (extent, parent, position id of the first token, loss span), attention intervals, leaves, repeated characters.
 
     The path, a hash of each turn, orders conversations as a depth-first walk does;
     the id breaks ties, so that a range partitioning splits even one huge tree.
@@ -107,9 +110,15 @@ def pack(conversations: DataFrame, most_chars: int = 200_000, most_conversations
 
     def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, Any]]:
         current = Pack()
+        last: list[tuple[str, str]] = []
         for b in batches:
             for conv_id, turn_list in zip(b["conv_id"], b["turns"], strict=True):
-                current.add(conv_id.as_py(), [(t["role"], t["text"]) for t in turn_list.as_py()])
+                own = [(t["role"], t["text"]) for t in turn_list.as_py()]
+                if not current.leaves:
+                    shared = takewhile(lambda two: two[0] == two[1], zip(last, own))
+                    current.repeated = sum(len(render(*turn)[0]) for turn, _ in shared)
+                current.add(conv_id.as_py(), own)
+                last = own
                 if current.size >= most_chars or len(current.leaves) >= most_conversations:
                     yield current.row()
                     current = Pack()

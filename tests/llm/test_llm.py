@@ -297,6 +297,17 @@ def test_chat_branches_after_many_turns(spark):
     for p in chatformat.pack(df).collect():
         told = [p["text"].count(f"branch {b}") for b in (0, 1)]
         assert max(told) == 1 and p["text"].count("turn 8") == 1
+    whole, parts = (chatformat.pack(df.coalesce(1), most_conversations=n).collect() for n in (1_000, 3))
+    assert len(whole) == 1 and whole[0]["repeated"] == 0 and len(parts) == 7
+    assert sum(len(p["text"]) - p["repeated"] for p in parts) == len(whole[0]["text"])
+
+
+def test_chat_branches_of_two_pairs(spark):
+    """Two pairs share eight turns, and each pair three more: every shared turn stands once."""
+    rows = [(c, t, "user", f"turn {t}" if t < 8 else f"pair {c % 2} turn {t}" if t < 11 else f"end {c}") for c in range(4) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (p,) = chatformat.pack(df).collect()
+    assert all(p["text"].count(f"pair {k} turn {t}") == 1 for k in range(2) for t in range(8, 11)) and p["text"].count("turn 3") == 1 and len(p["nodes"]) == 8 + 6 + 4
 
 
 # ---- near duplicates ----
