@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -31,6 +32,7 @@ def struct_type(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+BATCH_BYTES = 8_000_000
 #: What this process keeps between the rows of a task; workers are used again, so every task empties them at its end.
 _KEPT: list[Any] = []
 
@@ -101,8 +103,12 @@ def map_batches(df: DataFrame, columns: dict[str, Column], output: str | StructT
     """Run ``rows_of`` over Arrow batches of exactly ``columns``; it yields dicts of the columns of ``output``.
 
     Only the named columns leave the JVM, so extra columns of the input, whatever
-    their names, neither cost transfer nor clash.
+    their names, neither cost transfer nor clash. A batch is bounded in bytes: the session's bound is lowered to
+    ``BATCH_BYTES``, since both the JVM's buffers outside of its heap and the worker hold a batch several times over.
     """
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     output = struct_type(output) if isinstance(output, str) else output
     schema = to_arrow_schema(output)
 
