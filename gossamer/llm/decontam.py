@@ -59,7 +59,7 @@ def _code(token: str) -> int:
     return (xxhash.xxh3_64_intdigest(low) & ~7) | kind
 
 
-_CODES = Memo(_code)
+_CODES = Memo(_code, 250_000)
 
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

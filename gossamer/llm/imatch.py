@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import Memo, column, join_hot, let, map_batches, sampled
+from gossamer.llm.common import column, join_hot, let, map_batches, sampled
+from gossamer.llm.rolling import word_hashes
 from gossamer.session import cut_lineage
 
 RATES = (4, 16, 64, 256, 1024)
@@ -48,18 +49,15 @@ class Band:
     most_terms: int = 2_000_000
 
 
-#: Word -> 48-bit hash.
-_TERMS = Memo(lambda word: xxhash.xxh3_64_intdigest(word) >> (64 - TERM_BITS))
-
-
 def words_of(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
 def terms_of(text: str | None) -> np.ndarray:
     """The sorted hashes of a text's distinct words."""
-    words = words_of(text)
-    return np.unique(np.fromiter(map(_TERMS.__getitem__, words), np.int64, len(words)))
+    hashes = (word_hashes(words_of(text)) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+    hashes.sort()
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))] if len(hashes) else hashes
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import xxhash
 
-from gossamer.llm.common import Memo, kept_for_task
+from gossamer.llm.common import kept_for_task
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = kept_for_task({})
@@ -39,11 +41,9 @@ def window_hashes(words: np.ndarray, length: int, starts: np.ndarray | None = No
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-_WORDS = Memo(xxhash.xxh3_64_intdigest)
-
-
-def word_hashes(words: list) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Collection[bytes] | Collection[str]) -> np.ndarray:
+    """Hashing anew is faster than any cache."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def second(hashes: np.ndarray) -> np.ndarray:

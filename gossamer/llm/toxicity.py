@@ -25,21 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gossamer.llm.common import Memo, column, map_batches, sampled, slices, type_of
+from gossamer.llm.common import column, map_batches, sampled, slices, type_of
+from gossamer.llm.rolling import word_hashes
 
 _WORD = re.compile(r"\w+")
 STEM = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-#: Word -> 64-bit hashes of the word and of its stem (the first ``STEM`` letters).
-_WORDS = Memo(lambda word: (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:STEM], 1)))
-
-
 def features(text: str | None, bits: int) -> np.ndarray:
     """Distinct bins of unigrams (words and stems), bigrams and pairs with one word between; bin 0 is the bias."""
-    both = np.array([*map(_WORDS.__getitem__, _WORD.findall((text or "").lower()))], np.uint64).reshape(-1, 2)
-    h, stem = both[:, 0], both[:, 1]
+    words = _WORD.findall((text or "").lower())
+    h = word_hashes(words)
+    stem = np.fromiter((xxhash.xxh3_64_intdigest(w[:STEM], 1) for w in words), np.uint64, len(words))
     mixed = [h * _ODD[0], stem * _ODD[1], (h[:-1] * _ODD[1]) ^ ((h[1:] + _ODD[0]) * _ODD[2]), (h[:-2] * _ODD[3]) ^ ((h[2:] + _ODD[1]) * _ODD[2])]
     bins = (np.concatenate(mixed) * _ODD[2]) >> np.uint64(64 - bits)
     return np.unique(np.append(bins, np.uint64(0))).astype(np.int64)
