@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
+from gossamer.functions.batches import bounded, end_of_task
 from gossamer.functions.expr import col, let
 
 #: The 64-bit FNV-1a parameters.
@@ -52,15 +53,18 @@ def fnv1a64(token: Column | str) -> Column:
 
 
 class _Fnv(dict):
-    """Token -> hash; emptied when full."""
+    """Token -> hash, for tokens that are not long; emptied when full, and at the end of a task."""
+
+    MOST, LONGEST = 100_000, 64
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
         h = FNV_OFFSET
         for b in token.encode():
             h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
-        self[token] = h
+        if len(token) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[token] = h
         return h
 
 
@@ -71,24 +75,54 @@ def _tokens(text: str | None) -> list[str]:
     return [t for t in _TOKEN.findall((text or "").lower()) if len(t) >= _LEAST_BYTES or len(t.encode()) >= _LEAST_BYTES]
 
 
-def _fingerprint(features: list[str]) -> int:
-    """Bit i is set where more features have it than not; 0 without features."""
-    if not features:
-        return 0
-    h = np.fromiter(map(_FNV.__getitem__, features), np.uint64, len(features))
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(features), bitorder="little").view(np.int64)[0])
+def _signs(h: np.ndarray) -> int:
+    """Bit i is set where more hashes have it than not; 0 without hashes. Counted in parts of bounded size."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65_536):
+        ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def _fingerprint(tokens: list[str]) -> int:
+    return _signs(np.fromiter(map(_FNV.__getitem__, tokens), np.uint64, len(tokens)))
+
+
+def _shingle_hashes(tokens: list[str], n: int) -> np.ndarray:
+    """FNV-1a of each run of ``n`` tokens joined by spaces, byte by byte over all runs at once: a run is a slice of all tokens joined."""
+    parts = [t.encode() for t in tokens]
+    data = np.frombuffer(b" ".join(parts), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    first = starts[: len(parts) - n + 1]
+    size = (starts + lengths)[n - 1 :] - first
+    order = np.argsort(-size, kind="stable")  # the longest first, so that those with a byte left are a prefix; the order of hashes does not matter
+    first, size = first[order], size[order]
+    left = np.searchsorted(-size, -np.arange(size[0]), side="left")
+    h = np.full(len(first), FNV_OFFSET, np.uint64)
+    prime = np.uint64(FNV_PRIME)
+    for k, m in enumerate(left):
+        h[:m] = (h[:m] ^ data[first[:m] + k]) * prime
+    return h
 
 
 @pandas_udf(LongType())
-def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    try:
+        for batch in texts:
+            yield pd.Series([_fingerprint(_tokens(t)) for t in batch], dtype="int64")
+    finally:
+        _FNV.clear()
+        end_of_task()
+
+
+def simhash(text: Column | str) -> Column:
     """64-bit SimHash of a text, every occurrence of a token counted; as a signed long.
 
     Measured against a native form (explode, hash, 64 signed sums): the Arrow form
-    needs no shuffle and hashes a token once per worker.
+    needs no shuffle and hashes a token once per task. Batches are bounded in bytes.
     """
-    for batch in texts:
-        yield pd.Series([_fingerprint(_tokens(t)) for t in batch], dtype="int64")
+    bounded()
+    return _simhash(text)
 
 
 def simhash_shingles(n: int):
@@ -96,14 +130,19 @@ def simhash_shingles(n: int):
 
     @pandas_udf(LongType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            out = []
-            for t in batch:
-                tokens = _tokens(t)
-                out.append(_fingerprint([" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)] if len(tokens) >= n else tokens))
-            yield pd.Series(out, dtype="int64")
-
-    return run
+        try:
+            for batch in texts:
+                every = (_tokens(t) for t in batch)
+                yield pd.Series([_signs(_shingle_hashes(tokens, n)) if len(tokens) >= n else _fingerprint(tokens) for tokens in every], dtype="int64")
+        finally:
+            _FNV.clear()
+            end_of_task()
+
+    def of(text: Column | str) -> Column:
+        bounded()
+        return run(text)
+
+    return of
 
 
 def hamming_distance(a: Column | str, b: Column | str) -> Column:
