@@ -14,8 +14,10 @@ from pyspark.sql.types import StructType
 
 from gossamer.config import EngineConfig
 from gossamer.functions import text as T
+from gossamer.functions.batches import bounded
 from gossamer.operators import dedup, frontier
 from gossamer.operators.politeness import robots_table
+from gossamer.session import cut_lineage
 from gossamer.sources import storage
 
 DISPATCH = "host string, seq long, url string, arrival_ms long, dispatch_ms long, delay_ms long"
@@ -92,7 +94,8 @@ def near_dedup_sink(folder: str, distance: int = 3) -> Callable[[DataFrame, int]
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("seq", "content_hash", T.simhash("content").alias("simhash"))
+        bounded(spark)  # a stream's batches have a session of their own
+        rows = cut_lineage(batch.select("seq", "content_hash", T.simhash("content").alias("simhash")))  # fingerprints are made once
         old = storage.read_table(spark, folder)
         storage.upsert(folder, dedup.greedy_keep(dedup.exact_first(rows, history=old), distance, history=old), "content_hash")
 

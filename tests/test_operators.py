@@ -133,6 +133,22 @@ def test_greedy_and_pairs(spark):
     assert as_set(4) == as_set(6) == as_set(7)
 
 
+def test_greedy_in_ranges(spark, monkeypatch):
+    """Large classes are taken in ranges of arrival, and pairs are made with what is kept only."""
+    monkeypatch.setattr(dedup, "_AT_ONCE", 10)
+    made = []
+    plain = dedup._first_wins
+    monkeypatch.setattr(dedup, "_first_wins", lambda edges, most: made.append(edges.count()) or plain(edges, most))
+    rng = random.Random(5)
+    centre = rng.getrandbits(62)
+    rows = [(i, centre ^ sum({1 << rng.randrange(62) for _ in range(rng.randint(0, 3))}) if i % 2 else rng.getrandbits(62)) for i in range(600)]
+    df = spark.createDataFrame(rows, "seq long, simhash long").repartition(5)
+    assert {r["seq"] for r in dedup.greedy_keep(df, 3).collect()} == greedy(rows, 3)
+    assert len(made) == 4 and sum(made) < dedup.near_pairs(df, 3).count() / 3
+    near = dedup.near_pairs(df, 3)
+    assert near.count() == near.select("h1", "h2").distinct().count()
+
+
 def test_greedy_does_not_stop_early(spark):
     df = spark.createDataFrame([(i, (1 << 3 * i) - 1) for i in range(7)], "seq long, simhash long")
     assert {r["seq"] for r in dedup.greedy_keep(df, 3).collect()} == {0, 2, 4, 6}
