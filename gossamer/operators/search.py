@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gossamer.functions.expr import let, struct
+
 K1, B = 1.2, 0.75
 # The fields searched with their boosts, and the analyzer's stop words.
 FIELDS = {"title": 2.0, "content": 1.0, "meta_description": 1.0}
@@ -30,11 +32,27 @@ def analyze(text: Column, stop: bool = True) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS)) if stop else tokens
 
 
+def _runs(tokens: Column) -> Column:
+    """(term, tf) of the distinct tokens, counted within the row: runs of equal ones after a sort."""
+
+    def of_sorted(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda x, j: struct(term=F.get(s, x), tf=(F.coalesce(F.get(at, j + 1), F.size(s)) - x).cast("long"))))
+
+    return let(F.array_sort(tokens), of_sorted)
+
+
+def _counted(pages: DataFrame, fields: dict[str, float], key: str) -> DataFrame:
+    """Postings in the partitions of their pages, without a shuffle; ``first`` marks one of each page and field."""
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), analyze(F.col(f), f not in _UNSTOPPED).alias("tokens")) for f in fields))
+    rows = pages.select(F.col(key), F.explode(parts).alias("x")).select(key, "x.field", F.size("x.tokens").alias("length"), F.posexplode(_runs(F.col("x.tokens"))).alias("i", "run"))
+    return rows.select("field", "run.term", key, "run.tf", "length", (F.col("i") == 0).alias("first"))
+
+
 def postings(pages: DataFrame, fields: dict[str, float] = FIELDS, key: str = "url") -> DataFrame:
     """(field, term, key, tf, length): one row per field, term and page. Written once, it serves any number of queries."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), analyze(F.col(f), f not in _UNSTOPPED).alias("tokens")) for f in fields))
-    tokens = pages.select(F.col(key), F.explode(parts).alias("x")).select(key, "x.field", "x.tokens", F.size("x.tokens").alias("length"))
-    return tokens.select(key, "field", "length", F.explode("tokens").alias("term")).groupBy("field", "term", key, "length").agg(F.count("*").alias("tf"))
+    return _counted(pages, fields, key).drop("first")
 
 
 def field_stats(pages: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
@@ -86,18 +104,19 @@ def scores(pages: DataFrame, query: str, fields: dict[str, float] = FIELDS, key:
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index below ``folder``: postings sorted by term, so that a query reads the row groups of its terms only,
-    the statistics of the fields, and the pages by url. Made once by ``build``, it serves any number of queries."""
+    """A stored index below ``folder``: postings in segments that are sorted by term, so that a query reads the row groups of its terms only,
+    the statistics of the fields, and the pages by url within segments. Made once by ``build``, it serves any number of queries."""
 
     spark: SparkSession
     folder: str
 
     @classmethod
     def build(cls, pages: DataFrame, folder: str) -> Index:
-        """Postings are dealt by (term, url), so that a frequent term is spread over several files."""
-        postings(pages).repartitionByRange("term", "url").sortWithinPartitions("term", "url").write.mode("overwrite").parquet(f"{folder}/postings")
-        field_stats(pages).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-        pages.repartitionByRange("url").sortWithinPartitions("url").write.mode("overwrite").parquet(f"{folder}/pages")
+        """A segment holds the postings of one partition of the pages: nothing is shuffled, and a frequent term is spread over all segments."""
+        _counted(pages, FIELDS, "url").sortWithinPartitions("term", "url").write.mode("overwrite").parquet(f"{folder}/postings")
+        firsts = pages.sparkSession.read.parquet(f"{folder}/postings").where("first")
+        firsts.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+        pages.sortWithinPartitions("url").write.mode("overwrite").parquet(f"{folder}/pages")
         return cls(pages.sparkSession, folder)
 
     def scores(self, query: str) -> DataFrame:
@@ -133,15 +152,14 @@ _HITS = 1_000
 def shown(pages: DataFrame, found: DataFrame, query: str, domain: str | None = None, size: int = 10, offset: int = 0, sort_by: str | None = None, descending: bool = True) -> DataFrame:
     """url, title, snippet, domain, crawled_at, score of one page of results. The domain filters and does not score; ``size`` 0 returns nothing.
 
-    Where the score alone decides, the first hits are chosen before the pages are read for them.
+    The first hits are chosen by score, or by the column that sorts alone, before the pages are read for them.
     """
     if domain is not None:
         found = found.join(pages.where(F.col("domain") == domain).select("url"), "url", "left_semi")
-    if sort_by is None:
-        found = found.orderBy(F.desc("score"), "url").limit(offset + size)
-        found = F.broadcast(found) if offset + size <= _HITS else found
-    rows = pages.join(found, "url")
     order = [F.desc("score") if sort_by is None else (F.desc(sort_by) if descending else F.asc(sort_by)), F.asc("url")]
+    keyed = found if sort_by in (None, "score", "url") else found.join(pages.select("url", sort_by), "url")
+    found = keyed.orderBy(*order).limit(offset + size).select("url", "score").distinct()
+    rows = pages.join(F.broadcast(found) if offset + size <= _HITS else found, "url")
     top = rows.orderBy(*order).offset(offset).limit(size)
     words = sorted({t for x in query_terms(pages.sparkSession, query).values() for t in x}) or ["\\x00"]
     return top.select("url", "title", snippet(F.col("content"), words).alias("snippet"), "domain", "crawled_at", "score")

@@ -292,3 +292,18 @@ def test_clear_queue(spark):
     assert [spark.table(n).count() for n in ("frontier_queue", "frontier_taken", "seen_urls", "robots_rules")] == [0, 0, 0, 5]
     for name in ("frontier_queue", "frontier_taken", "seen_urls", "robots_rules"):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_postings_need_no_shuffle(spark, tmp_path):
+    """Terms are counted within their row; the index is written in segments, whose statistics are those of a scan."""
+    texts = ["b a b the a b", None, "", "the of", " ".join(str(i % 7) for i in range(100)), "one"]
+    pages = spark.createDataFrame([(f"u{i}", t, t, None, "d", None) for i, t in enumerate(texts)], "url string, title string, content string, meta_description string, domain string, crawled_at timestamp").repartition(3)
+    made = search.postings(pages)
+    assert "Exchange" not in made._jdf.queryExecution().optimizedPlan().toString().replace("Repartition", "") and "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["url"], r["term"]): (r["tf"], r["length"]) for r in made.where("field = 'content'").collect()}
+    assert got == {("u0", "b"): (3, 3), ("u5", "one"): (1, 1)} | {("u4", str(i)): (15 if i < 2 else 14, 100) for i in range(7)}
+    index = search.Index.build(pages, str(tmp_path / "index"))
+    assert sorted(spark.read.parquet(f"{index.folder}/stats").collect()) == sorted(search.field_stats(pages).collect())
+    for how in ({"sort_by": "domain"}, {"sort_by": "url", "descending": False, "offset": 1, "size": 1}, {"sort_by": "score"}, {}):
+        assert index.search("b one 3", **how).collect() == search.search(pages, "b one 3", **how).collect()
+    assert [r["url"] for r in index.search("b one 3", sort_by="url", size=2).collect()] == ["u5", "u4"]
