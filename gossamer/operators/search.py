@@ -40,7 +40,7 @@ def _runs(tokens: Column) -> Column:
         starts = F.filter(places, lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
         return let(starts, lambda at: F.transform(at, lambda x, j: struct(term=F.get(s, x), tf=(F.coalesce(F.get(at, j + 1), F.size(s)) - x).cast("long"))))
 
-    return let(F.array_sort(tokens), of_sorted)
+    return let(F.sort_array(tokens), of_sorted)
 
 
 def _counted(pages: DataFrame, fields: dict[str, float], key: str) -> DataFrame:
